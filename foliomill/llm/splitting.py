@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliomill.text import SOLID, SPACE, token_count
+from foliomill.text import ASCII_SOLID, ASCII_SPACE, SOLID, SPACE, is_ascii, token_count
 
 #: Boundaries from the strongest to the weakest; a piece ends at the strongest one in the last half of its room.
 STRENGTHS = "plsc"
@@ -20,10 +20,12 @@ STRENGTHS = "plsc"
 def _codes(parts: Column) -> Column:
     """A boundary letter for each token; `parts` are tokens with the white space that follows."""
     def code(p: Column) -> Column:
+        tail = F.regexp_extract(p, f"{SPACE}+$", 0)
         return (
-            F.when(p.rlike(rf"[\n ]{SPACE}*[\n ]| "), "p")
-            .when(p.rlike(r"[\n\r \x85]"), "l")
-            .when(p.rlike(rf"[.!?…。][\"'”’»)\]]*{SPACE}*$"), "s")
+            F.when(tail == " ", F.when(p.rlike(r"[.!?\x{2026}\x{3002}][\"')\]\x{2019}\x{201d}\x{bb}]* $"), "s").when(p.rlike("[,;:] $"), "c").otherwise("w"))
+            .when(tail.rlike(r"\n[^\n]*\n|\x{2029}"), "p")
+            .when(tail.rlike(r"[\n\r\x{85}\x{2028}]"), "l")
+            .when(p.rlike(rf"[.!?\x{{2026}}\x{{3002}}][\"')\]\x{{2019}}\x{{201d}}\x{{bb}}]*{SPACE}*$"), "s")
             .when(p.rlike(rf"[,;:]{SPACE}*$"), "c")
             .otherwise("w")
         )
@@ -57,7 +59,8 @@ def split_oversized(items: DataFrame, text: str, limit: str, overlap: str) -> Da
     scratch columns, which live in one struct.
     """
     t, z = F.col(text), "__split"
-    parts = F.regexp_extract_all(t, F.lit(f"{SOLID}+{SPACE}*"), F.lit(0))
+    cut_at = lambda solid, space: F.regexp_extract_all(t, F.lit(f"{solid}+{space}*"), F.lit(0))
+    parts = F.when(is_ascii(t), cut_at(ASCII_SOLID, ASCII_SPACE)).otherwise(cut_at(SOLID, SPACE))
     lim = F.when(F.col(limit) >= 1, F.col(limit)).otherwise(F.greatest(token_count(t), F.lit(1))).cast("int")
     df = items.withColumn(z, F.struct(parts.alias("parts"), lim.alias("limit")))
     at = lambda n: F.col(f"{z}.{n}")
