@@ -59,3 +59,68 @@ WITH lines AS (
 keyed AS (SELECT *, regexp_replace(lower(line), '[^\p{L}]+', '', 'g') AS k FROM lines),
 often AS (SELECT document_id, k FROM keyed WHERE length(k) >= 10 GROUP BY document_id, k HAVING count(DISTINCT page_number) >= 4)
 SELECT block_id, line_no FROM keyed JOIN often USING (document_id, k)"""
+
+
+@query
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import bpe
+
+    return bpe.encode_texts(table(spark, d, "documents"), "doc_id", "text", vocabulary(spark))
+
+
+@query
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that do not come back from their ids: none."""
+    from foliomill.llm import bpe
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    back = bpe.decode_ids(bpe.encode_texts(docs, "doc_id", "text", vocabulary(spark)), "doc_id", "ids", vocabulary(spark))
+    return docs.join(back.withColumnRenamed("text", "back"), "doc_id").where(F.coalesce("text", F.lit("")) != F.col("back")).select("doc_id")
+
+
+def vocabulary(spark: SparkSession) -> str:
+    """The place of the vocabulary file, by the setting ``spark.foliomill.vocabulary``."""
+    return spark.conf.get("spark.foliomill.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+@query
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import leakage
+
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import leakage
+
+    return p9_leaks(spark, d).where(F.col("longest_run") >= leakage.MIN_RUN).select("doc_id", "item_id")
+
+
+ORACLE_SQL["p8_round_trip"] = "SELECT doc_id FROM documents WHERE false"
+ORACLE_SQL["p9_found"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda p: array_to_string(w[p:p + 12], ' '))) AS g FROM d WHERE len(w) >= 13),
+ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda p: array_to_string(w[p:p + 12], ' '))) AS g FROM i WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
+
+def _usable_vectors(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import vectors
+
+    return vectors.usable(table(spark, d, "vector_records"), table(spark, d, "jobs"), table(spark, d, "pipeline_configs"))
+
+
+@query
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import vectors
+
+    return vectors.top_neighbours(_usable_vectors(spark, d))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import vectors
+
+    return vectors.neighbour_pairs(p2_neighbours(spark, d))
