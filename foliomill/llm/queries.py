@@ -124,3 +124,33 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from foliomill.llm import vectors
 
     return vectors.neighbour_pairs(p2_neighbours(spark, d))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import neardup
+
+    links, members = neardup.near_duplicate_classes(table(spark, d, "text_blocks"), "block_id", "text")
+    return neardup.pairs(links, members, "block_id").select(F.col("a").alias("block_a"), F.col("b").alias("block_b"))
+
+
+@query
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """block_id, group_id, links: one row for each block that has copies; links are those of its class of equal sets."""
+    from foliomill.llm import graph, neardup
+
+    links, members = neardup.near_duplicate_classes(table(spark, d, "text_blocks"), "block_id", "text")
+    of = graph.components(links).withColumnsRenamed({"node": "h", "component": "c"})
+    degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("links"))
+    copies = members.groupBy("h").agg(F.count("*").alias("n"), F.min("block_id").alias("least"))
+    classes = copies.join(of, "h", "left").join(degree, "h", "left").where("n > 1 OR c IS NOT NULL").withColumn("c", F.coalesce("c", "h"))
+    named = classes.join(classes.groupBy("c").agg(F.min("least").alias("group_id")), "c")
+    return members.join(named, "h").select("block_id", "group_id", (F.coalesce("links", F.lit(0))).alias("links"))
+
+
+ORACLE_SQL["p5_found"] = r"""
+WITH b AS (SELECT block_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT block_id, text FROM text_blocks)),
+g AS (SELECT DISTINCT block_id, unnest(list_transform(range(1, len(w) - 1), lambda p: hash(w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]))) AS g FROM b WHERE len(w) >= 40),
+n AS (SELECT block_id, count(*) AS n FROM g GROUP BY block_id),
+c AS (SELECT x.block_id AS block_a, y.block_id AS block_b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.block_id < y.block_id GROUP BY ALL)
+SELECT block_a, block_b FROM c JOIN n p ON p.block_id = block_a JOIN n q ON q.block_id = block_b WHERE 3 * c >= p.n + q.n"""
