@@ -23,7 +23,7 @@ from foliomill.session import staged
 SHINGLE, MIN_WORDS, THRESHOLD = 3, 40, 0.5
 SEGMENTS, WIDTH = 14, 4
 #: A run is common if more than this share of all texts hold it.
-COMMON = 0.001
+COMMON = 0.005
 #: A text is indexed by all of its runs too if fewer than this share of them are rare.
 RARE_SHARE = 0.4
 BUCKETS, CHUNKS = 1 << 20, 64
