@@ -154,3 +154,25 @@ g AS (SELECT DISTINCT block_id, unnest(list_transform(range(1, len(w) - 1), lamb
 n AS (SELECT block_id, count(*) AS n FROM g GROUP BY block_id),
 c AS (SELECT x.block_id AS block_a, y.block_id AS block_b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.block_id < y.block_id GROUP BY ALL)
 SELECT block_a, block_b FROM c JOIN n p ON p.block_id = block_a JOIN n q ON q.block_id = block_b WHERE 3 * c >= p.n + q.n"""
+
+
+def _forms(spark: SparkSession, d: str) -> list[tuple[str, str, DataFrame]]:
+    from foliomill.llm import lookalike
+
+    blocks, raw = table(spark, d, "text_blocks"), table(spark, d, "raw_blocks")
+    to = lookalike.representatives(lookalike.character_counts(blocks.select("text").unionByName(raw.select("text"))))
+    return [("TextBlock.text", "block_id", lookalike.one_form(blocks, "block_id", "text", to)), ("RawBlock.text", "raw_id", lookalike.one_form(raw, "raw_id", "text", to))]
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import lookalike
+
+    a, b = (lookalike.look_alike_pairs(f, key).select(F.lit(field).alias("field"), F.col("a").alias("id_a"), F.col("b").alias("id_b")) for field, key, f in _forms(spark, d))
+    return a.unionByName(b)
+
+
+@query
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (f.select(F.lit(field).alias("field"), F.col(key).alias("id"), "form") for field, key, f in _forms(spark, d))
+    return a.unionByName(b)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 SAMPLE = 40_000
 MOST_CENTRES = 4096
 #: Blocks per query.  More blocks: higher recall, more products.
-PROBES = 6
+PROBES = 4
 #: Rows and queries of a tile; larger blocks are cut, whatever their size.
 TILE = 4096
 
@@ -31,7 +31,7 @@ def usable(records: DataFrame, jobs: DataFrame, configs: DataFrame) -> DataFrame
     """record_id, dim, v: status ok, as long as its document's configured dimension, finite, not all zero; a key counts once."""
     one = jobs.where("document_id IS NOT NULL").groupBy("document_id").agg(F.min("config_id").alias("config_id"))
     dims = one.join(configs.select("config_id", F.col("embedding_dimension").alias("dim")).distinct(), "config_id").select("document_id", "dim")
-    df = records.where("status = 'ok' AND embedding IS NOT NULL AND record_id IS NOT NULL").select("record_id", "document_id", F.col("embedding").cast("array<double>").alias("v"))
+    df = records.where("status = 'ok' AND embedding IS NOT NULL AND record_id IS NOT NULL").select("record_id", "document_id", F.col("embedding").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return df.join(dims, "document_id").where((F.size("v") == F.col("dim")) & fine).select("record_id", "dim", "v").dropDuplicates(["record_id"])
 
@@ -44,7 +44,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit_centres(rows: DataFrame, total: int, sample: int = SAMPLE, rounds: int = 6) -> np.ndarray:
     """Centres on the unit sphere by Lloyd's rounds over a bounded sample; their number grows with the root of `total`."""
     part = rows if total <= sample else rows.orderBy(F.xxhash64("record_id")).limit(sample)
-    x = _unit(np.stack(part.select("v").toPandas()["v"].map(np.asarray).to_list())).astype(np.float32)
+    x = _unit(np.stack(part.select("v").toPandas()["v"].to_list()).astype(np.float64)).astype(np.float32)
     k = max(1, min(MOST_CENTRES, len(x) // 8, int(2 * math.sqrt(total))))
     c = x[np.random.default_rng(7).choice(len(x), k, replace=False)]
     for _ in range(rounds):
@@ -56,25 +56,24 @@ def fit_centres(rows: DataFrame, total: int, sample: int = SAMPLE, rounds: int =
     return c
 
 
-_ASSIGNED = "record_id bigint, dim int, cell int, near int, v array<float>, part int"
+_ASSIGNED = "record_id bigint, dim int, cells array<int>, v array<float>, part int"
 
 
 def _assign(df: DataFrame, centres: dict[int, np.ndarray], probes: int) -> DataFrame:
-    """One row for each of a record's nearest blocks, from 0; v has unit length."""
+    """Each record with its nearest blocks, the nearest first."""
     held = df.sparkSession.sparkContext.broadcast(centres)  # at most MOST_CENTRES for each configured dimension
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for dim, g in b.groupby("dim"):
                 c = held.value[dim]
-                x = _unit(np.stack(g["v"].to_list())).astype(np.float32)
+                x = _unit(np.stack(g["v"].to_list()).astype(np.float64)).astype(np.float32)
                 s = x @ c.T
                 p = min(probes, len(c))
                 top = np.argpartition(-s, p - 1, axis=1)[:, :p]
                 top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
                 ids = g["record_id"].to_numpy()
-                vs = list(x)
-                yield pd.DataFrame({"record_id": np.repeat(ids, p), "dim": np.int32(dim), "cell": top.ravel().astype(np.int32), "near": np.tile(np.arange(p, dtype=np.int32), len(g)), "v": [v for v in vs for _ in range(p)], "part": (np.repeat(ids, p) * 2654435761 % 2147483647).astype(np.int32)})
+                yield pd.DataFrame({"record_id": ids, "dim": np.int32(dim), "cells": list(top.astype(np.int32)), "v": g["v"], "part": (ids * 2654435761 % 2147483647).astype(np.int32)})
 
     return df.mapInPandas(run, _ASSIGNED)
 
@@ -92,8 +91,8 @@ def tile_top(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray, k:
     The int8 product p with scales s and t is off from the true one by no more than e_q (1 + e_r) + e_r, with e the
     rounding lengths and vectors of unit length.  Equal cosines go to the smaller id.
     """
-    qi, qs, qe = quantise(q.astype(np.float64))
-    ri, rs, re = quantise(r.astype(np.float64))
+    qi, qs, qe = quantise(q)
+    ri, rs, re = quantise(r)
     # products of whole numbers up to 127: sums below 2^24 are exact in float32, which has the fast matrix product
     kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
     approx = (qi.astype(kind) @ ri.astype(kind).T) * (qs.astype(kind)[:, None] * rs.astype(kind)[None, :])
@@ -104,7 +103,7 @@ def tile_top(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray, k:
         a, b = np.nonzero(approx >= kth - 2 * slack)
     else:
         a, b = np.nonzero(approx > -np.inf)
-    cos = np.einsum("ij,ij->i", q[a].astype(np.float64), r[b].astype(np.float64))
+    cos = np.einsum("ij,ij->i", q[a], r[b])
     order = np.lexsort((rid[b], -cos, a))
     a, b, cos = a[order], b[order], cos[order]
     first = np.searchsorted(a, a)  # where each query's survivors begin
@@ -136,6 +135,7 @@ def top_neighbours(rows: DataFrame, k: int = 5, probes: int = PROBES, tile: int
     centres = {dim: fit_centres(kept.where(F.col("dim") == dim), n) for dim, n in totals.items()}
     probes = max(len(c) for c in centres.values()) if all_tiles else probes
     near = staged(_assign(kept.select("record_id", "dim", "v"), centres, probes), "blocks")
+    near = near.select("record_id", "dim", "v", "part", F.posexplode("cells").alias("near", "cell"))
     sizes = near.groupBy("dim", "cell").agg(F.sum((F.col("near") == 0).cast("int")).alias("rows"), F.count("*").alias("queries"))
     cuts = F.broadcast(sizes.select("dim", "cell", F.ceil(F.col("rows") / tile).cast("int").alias("rc"), F.ceil(F.col("queries") / tile).cast("int").alias("qc")).where("rc > 0"))  # one row a block
     near = near.join(cuts, ["dim", "cell"])
@@ -147,7 +147,7 @@ def top_neighbours(rows: DataFrame, k: int = 5, probes: int = PROBES, tile: int
 
     def tiles(g: pd.DataFrame) -> pd.DataFrame:
         is_query = g["query"].to_numpy()
-        ids, x = g["record_id"].to_numpy(), np.stack(g["v"].to_list())
+        ids, x = g["record_id"].to_numpy(), _unit(np.stack(g["v"].to_list()).astype(np.float64))
         rid, r = ids[~is_query], x[~is_query]
         qid, q = ids[is_query], x[is_query]
         out = [tile_top(qid[i : i + 512], q[i : i + 512], rid, r, k) for i in range(0, len(qid), 512)] if len(rid) else []
