@@ -176,3 +176,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     a, b = (f.select(F.lit(field).alias("field"), F.col(key).alias("id"), "form") for field, key, f in _forms(spark, d))
     return a.unionByName(b)
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import names
+
+    books = table(spark, d, "books")
+    a, t = (names.linked_pairs(names.link_names(books, "book_id", f, f), "book_id").select(F.lit(f).alias("field"), F.col("a").alias("book_a"), F.col("b").alias("book_b")) for f in ("author", "title"))
+    return a.unionByName(t)
+
+
+@query
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import names
+
+    books = table(spark, d, "books")
+    a, t = (names.link_names(books, "book_id", f, f).select(F.lit(f).alias("field"), "book_id", "entity") for f in ("author", "title"))
+    return a.unionByName(t)
