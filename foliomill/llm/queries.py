@@ -194,3 +194,21 @@ def p1_entities(spark: SparkSession, d: str) -> DataFrame:
     books = table(spark, d, "books")
     a, t = (names.link_names(books, "book_id", f, f).select(F.lit(f).alias("field"), "book_id", "entity") for f in ("author", "title"))
     return a.unionByName(t)
+
+
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import truncation
+
+    return truncation.find_truncated(table(spark, d, "documents"), "doc_id", "source", "text")
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d).where("cut").select("doc_id")
+
+
+@query
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import truncation
+
+    return truncation.share_by_source(_truncated(spark, d))
