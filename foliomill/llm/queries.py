@@ -212,3 +212,15 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     from foliomill.llm import truncation
 
     return truncation.share_by_source(_truncated(spark, d))
+
+
+@query
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    from foliomill.llm import ocr_repair
+
+    return ocr_repair.repair_scanned(table(spark, d, "text_blocks"), table(spark, d, "raw_blocks"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_repaired(spark, d).select("block_id", F.explode("kinds").alias("kind"))
