@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from foliomill.session import staged
+from foliomill.session import release, staged
 
 SHINGLE, MIN_WORDS, THRESHOLD = 3, 40, 0.5
 SEGMENTS, WIDTH = 14, 4
@@ -214,6 +214,7 @@ def near_duplicate_classes(texts: DataFrame, key: str, text: str, threshold: flo
     st = staged(sets(texts, key, text), "sets")
     total = st.count()
     cand = staged(candidates(st, total), "candidates")
+    release(st.sparkSession)  # the index entries are the largest shuffle
     wanted = cand.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     if wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
