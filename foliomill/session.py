@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
@@ -34,25 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
     Like ``checkpoint()`` this cuts the lineage and survives the loss of executors, but the copy is columnar,
-    compressed and can be read with pruned columns.  The copy is deleted when the process ends.
+    compressed and can be read with pruned columns.  The shuffle files of the writing go with it, since nothing reads
+    them again; the copy is deleted when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now; it does so only after a collection of the driver's garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
