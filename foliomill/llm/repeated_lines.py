@@ -1,9 +1,9 @@
 """Lines repeated across one source's pages: found by a log-likelihood ratio and removed.
 
-For each line class of a source (its letters in lower case) the share of the source's lines is compared with the share
-among all other sources.  Outside, a class counts once for each source that has it, so that a notice which every
-source repeats does not hide itself.  Dunning's ratio gives a p-value, and the Benjamini-Hochberg step-up rule over
-all classes of all sources sets the level.  What counts is that a class stands on a page.  All counting is by SQL aggregates keyed on (source, class, page); a source
+For each line class (its letters in lower case) the share of a source's pages that it stands on is compared with the
+share among the pages of all other sources.  Outside, a class counts once for each source that has it, so that a notice
+which every source repeats does not hide itself.  Dunning's ratio gives a p-value, and the Benjamini-Hochberg step-up rule over
+all classes of all sources sets the level.  All counting is by SQL aggregates keyed on (source, class, page); a source
 with a third of all rows is spread over its classes and pages.
 """
 
@@ -47,15 +47,17 @@ def repeated_classes(keyed: DataFrame, min_pages: int = MIN_PAGES, fdr: float =
 
     What is counted is that a class stands on a page, so repeated rows change nothing.
     """
-    by_class = keyed.where("page IS NOT NULL").select("src", "k1", "k2", "page").distinct().groupBy("src", "k1", "k2").agg(F.count("*").alias("pages"))
+    placed = keyed.where("page IS NOT NULL")
+    by_class = placed.select("src", "k1", "k2", "page").distinct().groupBy("src", "k1", "k2").agg(F.count("*").alias("pages"))
     often = by_class.where(F.col("pages") >= min_pages)
-    totals = by_class.groupBy("src").agg(F.sum("pages").alias("n_source"), F.count("*").alias("classes"))
-    everything = totals.agg(F.sum("classes").alias("all_classes"))
+    totals = placed.select("src", "page").distinct().groupBy("src").agg(F.count("*").alias("n_source"))
+    all_pages = totals.agg(F.sum("n_source").alias("all_pages"))
+    tests = by_class.agg(F.count("*").alias("all_classes"))
     outside = by_class.join(often.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("sources"))
-    df = often.join(outside, ["k1", "k2"]).join(totals, "src").crossJoin(F.broadcast(everything))
+    df = often.join(outside, ["k1", "k2"]).join(totals, "src").crossJoin(F.broadcast(all_pages))
     a, n1 = F.col("pages").cast("double"), F.col("n_source").cast("double")
     b = (F.col("sources") - 1).cast("double")
-    n2 = F.greatest((F.col("all_classes") - F.col("classes")).cast("double"), b, F.lit(1.0))
+    n2 = F.greatest((F.col("all_pages") - F.col("n_source")).cast("double"), b, F.lit(1.0))
     eps = 1e-12
     rate = lambda k, n: F.least(F.greatest(k / n, F.lit(eps)), F.lit(1 - eps))
     both = rate(a + b, n1 + n2)
@@ -67,7 +69,7 @@ def repeated_classes(keyed: DataFrame, min_pages: int = MIN_PAGES, fdr: float =
     df = df.withColumn("bin", F.least(F.floor(-F.col("log10_p") * BINS_PER_DECADE), F.lit(LAST_BIN)).cast("int"))
     # step-up rule on a histogram of at most LAST_BIN + 1 rows
     hist = df.groupBy("bin").agg(F.count("*").alias("c"))
-    hist = hist.withColumn("rank", F.sum("c").over(Window.orderBy(F.col("bin").desc()))).crossJoin(F.broadcast(everything))
+    hist = hist.withColumn("rank", F.sum("c").over(Window.orderBy(F.col("bin").desc()))).crossJoin(F.broadcast(tests))
     passing = hist.where(-F.col("bin") / BINS_PER_DECADE <= F.log10(F.col("rank") / F.col("all_classes") * fdr)).agg(F.coalesce(F.min("bin"), F.lit(LAST_BIN + 1)).alias("least_bin"))
     return df.crossJoin(F.broadcast(passing)).select("src", "k1", "k2", "pages", "llr", "log10_p", (F.col("bin") >= F.col("least_bin")).alias("significant"))
 
