@@ -151,6 +151,26 @@ def test_every_candidate_is_found():
         assert near <= set(lookup.candidates(w, ocr_repair.EDIT_COST))
 
 
+def test_the_word_before_decides_between_equal_candidates(spark):
+    rows = [("the carol sang", )] * 30 + [("a carat weighed",)] * 40 + [("the carol",)] * 5
+    words, _, pairs = ocr_repair.vocabulary(spark.createDataFrame(rows, "t string"))
+    lookup = ocr_repair.Lookup({"list": 50, "fist": 60}, None)
+    assert lookup.meant("f1st") in ("list", "fist", None)
+    assert pairs[ocr_repair.pair_bucket("the", "carol")] >= 35 > pairs[ocr_repair.pair_bucket("a", "carol")]
+    two = ocr_repair.Lookup({"hear": 9, "bear": 12}, np_pairs({("i", "hear"): 7}))
+    two.known["xear"] = ["bear", "hear"]
+    assert two.meant("xear", "i") == "hear" and two.meant("xear", "") == "bear"
+
+
+def np_pairs(counts):
+    import numpy as np
+
+    out = np.zeros(ocr_repair.PAIR_BUCKETS, dtype=np.int64)
+    for (a, b), n in counts.items():
+        out[ocr_repair.pair_bucket(a, b)] += n
+    return out
+
+
 def test_truncated(spark):
     rnd = random.Random(5)
     rows = []
