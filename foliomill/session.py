@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _importable_by_workers(spark: SparkSession) -> None:
@@ -55,6 +55,15 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, hash_column: str, most: int, total: int) -> DataFrame:
+    """`most` of `total` rows, those with the smallest hashes; about as many more leave their tasks, whatever the input's size."""
+    if total <= most:
+        return df
+    share = min(1.0, (1.1 * most + 1000) / total)
+    place = F.col(hash_column) / float(2**63)  # even between -1 and 1
+    return df.where((place + 1) / 2 < share).orderBy(hash_column).limit(most)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
