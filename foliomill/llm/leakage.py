@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from foliomill.session import staged
 from foliomill.text import words
 
 GRAM = 5
@@ -22,6 +23,8 @@ MIN_RUN = 13
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Test items are broadcast only up to so many n-grams; beyond that the join shuffles.
 BROADCAST_GRAMS = 2_000_000
+#: The ids of documents with a seed are broadcast up to this many.
+BROADCAST_DOCUMENTS = 1_000_000
 
 
 def grams(w: Column, n: int) -> Column:
@@ -92,7 +95,12 @@ def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, run: int = M
     small = it.select(F.explode("grams").alias("gram"))
     # where a seed stands, without the words: a posting of a few bytes
     found = hits.select("doc_id", "at", "gram").join(_small(sd, small), "gram").groupBy("doc_id", "item_id").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count_distinct("pos").alias("seeds"))
-    pairs = found.join(docs.dropDuplicates(["doc_id"]), "doc_id").join(it.select("item_id", "w"), "item_id")
+    found = staged(found, "postings")
+    # only the few documents with a seed are joined with their words
+    ids = found.select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_DOCUMENTS else ids
+    some = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    pairs = found.join(some, "doc_id").join(it.select("item_id", "w"), "item_id")
     first = F.greatest(F.col("lo") - F.size("w"), F.lit(0))
     pairs = pairs.select("doc_id", "item_id", "seeds", "w", F.slice("dw", first + 1, F.col("hi") - first + gram + F.size("w")).alias("dw"))
     schema = T.StructType([pairs.schema["doc_id"], pairs.schema["item_id"], T.StructField("score", T.IntegerType()), T.StructField("share", T.DoubleType()), T.StructField("longest_run", T.IntegerType()), T.StructField("seeds", T.LongType())])

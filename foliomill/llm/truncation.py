@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from foliomill.session import hashed_sample
+
 #: Texts for the fit, chosen by the hash of their key; all texts are scored.
 SAMPLE = 20_000
 DIMENSIONS = 1 << 15
@@ -117,7 +119,7 @@ def score(w: np.ndarray, tails: list[str], near: list[bool]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(w[_rows(list(zip(tails, near)))].sum(axis=1) + w[DIMENSIONS], -30, 30)))
 
 
-def training_rows(texts: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
+def training_rows(texts: DataFrame, total: int, sample: int = SAMPLE) -> pd.DataFrame:
     """tail, near_limit, cut: each text of the sample as it is, if not at its source's limit, and cut at some places."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +140,7 @@ def training_rows(texts: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
                         out.append((part[-TAIL:], bool(rng.random() < 0.4), True))
             yield pd.DataFrame(out, columns=["tail", "near", "cut"])
 
-    return texts.orderBy("h").limit(sample).mapInPandas(make, "tail string, near boolean, cut boolean").toPandas()
+    return hashed_sample(texts, "h", sample, total).mapInPandas(make, "tail string, near boolean, cut boolean").toPandas()
 
 
 def find_truncated(docs: DataFrame, key: str, source: str, text: str, sample: int = SAMPLE) -> DataFrame:
@@ -152,7 +154,7 @@ def find_truncated(docs: DataFrame, key: str, source: str, text: str, sample: in
     rows = docs.select(F.col(key), F.col(source).alias("source"), F.col(text).alias("text")).where(F.length(F.trim("text")) > 0)
     # at most one row for each source; Spark broadcasts it only below its own threshold
     rows = rows.join(limits, "source", "left").select(key, "source", "text", near.alias("near"), F.xxhash64("text", F.col(key)).alias("h"))
-    made = training_rows(rows.select("text", "near", "h"), sample)
+    made = training_rows(rows.select("text", "near", "h"), rows.count(), sample)
     tails, nears, cuts = made["tail"].tolist(), made["near"].tolist(), made["cut"].to_numpy(dtype=bool)
     w = fit(tails, nears, cuts)
     for _ in range(2):

@@ -16,7 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
+
+from foliomill.session import hashed_sample, staged
 
 #: Centres are fitted on at most so many rows of a dimension, chosen by the hash of the id.
 SAMPLE = 40_000
@@ -43,7 +45,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def fit_centres(rows: DataFrame, total: int, sample: int = SAMPLE, rounds: int = 6) -> np.ndarray:
     """Centres on the unit sphere by Lloyd's rounds over a bounded sample; their number grows with the root of `total`."""
-    part = rows if total <= sample else rows.orderBy(F.xxhash64("record_id")).limit(sample)
+    part = hashed_sample(rows.withColumn("h", F.xxhash64("record_id")), "h", sample, total)
     x = _unit(np.stack(part.select("v").toPandas()["v"].to_list()).astype(np.float64)).astype(np.float32)
     k = max(1, min(MOST_CENTRES, len(x) // 8, int(2 * math.sqrt(total))))
     c = x[np.random.default_rng(7).choice(len(x), k, replace=False)]
@@ -121,10 +123,8 @@ def top_neighbours(rows: DataFrame, k: int = 5, probes: int = PROBES, tile: int
     records share costs no more than any other.  With `all_tiles` every block is compared with every other one, which
     is exact and quadratic.
     """
-    from foliomill.session import staged
-
     spark = rows.sparkSession
-    rows = rows.withColumn("same", F.xxhash64(F.to_json("v"), F.lit(3)))
+    rows = rows.withColumn("same", F.struct(F.xxhash64("v"), F.hash("v")))
     rank = F.row_number().over(Window.partitionBy("dim", "same").orderBy("record_id"))
     rows = staged(rows.withColumn("copy", rank), "vectors")
     kept = rows.where(F.col("copy") <= k + 1)
