@@ -21,14 +21,17 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from foliomill.session import staged
 
 SHINGLE, MIN_WORDS, THRESHOLD = 3, 40, 0.5
-SEGMENTS, WIDTH = 14, 4
+SEGMENTS, WIDTH = 16, 4
 #: A run is common if more than this share of all texts hold it.
 COMMON = 0.005
 #: A text is indexed by all of its runs too if fewer than this share of them are rare.
 RARE_SHARE = 0.4
 BUCKETS, CHUNKS = 1 << 20, 64
-#: Index entries of one task: 12 bytes each.
+#: Index entries of one task.
 TASK_ENTRIES = 3_000_000
+#: An entry holds so many bytes of its class's hash.  Classes that share them are told apart when pairs are verified.
+ID_BYTES = 5
+ID_MASK = (1 << 8 * ID_BYTES) - 1
 #: Sets are filtered by a broadcast list of wanted classes up to this many, by a join beyond it.
 BROADCAST_CLASSES = 1_000_000
 
@@ -137,7 +140,7 @@ def variants(values: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
 
 
 def candidates(st: DataFrame, total: int) -> DataFrame:
-    """a < b: each two classes that share a variant, once."""
+    """a < b: the short ids of each two classes that share a variant, once."""
     common = st.sparkSession.sparkContext.broadcast(common_buckets(st, total))
     tasks = max(1, -(-total * SEGMENTS * WIDTH // TASK_ENTRIES))
 
@@ -171,7 +174,8 @@ def candidates(st: DataFrame, total: int) -> DataFrame:
             target, sig, own = target[order], (sig[order] >> np.uint64(32)).astype(np.uint32), own[order]
             cut = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
             ends = np.r_[cut[1:], len(target)]
-            yield pd.DataFrame({"target": target[cut], "sigs": [sig[i:j].tobytes() for i, j in zip(cut, ends)], "ids": [own[i:j].tobytes() for i, j in zip(cut, ends)]})
+            short = np.ascontiguousarray(own & ID_MASK).view(np.uint8).reshape(-1, 8)[:, :ID_BYTES]
+            yield pd.DataFrame({"target": target[cut], "sigs": [sig[i:j].tobytes() for i, j in zip(cut, ends)], "ids": [short[i:j].tobytes() for i, j in zip(cut, ends)]})
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
@@ -180,7 +184,9 @@ def candidates(st: DataFrame, total: int) -> DataFrame:
                 held.setdefault(t, []).append((s, i))
         for parts in held.values():
             sig = np.frombuffer(b"".join(s for s, _ in parts), dtype=np.uint32)
-            own = np.frombuffer(b"".join(i for _, i in parts), dtype=np.int64)
+            wide = np.zeros((len(sig), 8), dtype=np.uint8)
+            wide[:, :ID_BYTES] = np.frombuffer(b"".join(i for _, i in parts), dtype=np.uint8).reshape(-1, ID_BYTES)
+            own = wide.view(np.int64)[:, 0]
             order = np.lexsort((own, sig))
             sig, own = sig[order], own[order]
             first = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]  # the same class from several tasks
@@ -214,13 +220,14 @@ def near_duplicate_classes(texts: DataFrame, key: str, text: str, threshold: flo
     st = staged(sets(texts, key, text), "sets")
     total = st.count()
     cand = staged(candidates(st, total), "candidates")
-    wanted = cand.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    wanted = cand.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     if wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
-    chosen = st.select("h", "runs").join(wanted, "h", "left_semi").dropDuplicates(["h"])
-    both = cand.join(chosen.select(F.col("h").alias("a"), F.col("runs").alias("ra")), "a").join(chosen.select(F.col("h").alias("b"), F.col("runs").alias("rb")), "b")
+    chosen = st.select("h", F.col("h").bitwiseAND(F.lit(ID_MASK)).alias("k"), "runs").join(wanted, "k", "left_semi").dropDuplicates(["k", "h"])
+    side = lambda n: chosen.select(F.col("k").alias(n), F.col("h").alias(f"h{n}"), F.col("runs").alias(f"r{n}"))
+    both = cand.join(side("a"), "a").join(side("b"), "b")
     same = F.size(F.array_intersect("ra", "rb"))
-    links = both.select("a", "b", (same / (F.size("ra") + F.size("rb") - same)).alias("similarity")).where(F.col("similarity") >= threshold)
+    links = both.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"), (same / (F.size("ra") + F.size("rb") - same)).alias("similarity")).where(F.col("similarity") >= threshold)
     return staged(links, "links"), st.select("h", key).distinct()
 
 
