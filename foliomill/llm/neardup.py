@@ -31,6 +31,8 @@ BUCKETS, CHUNKS = 1 << 20, 64
 TASK_ENTRIES = 3_000_000
 #: An entry holds so many bytes of its class's hash.  Classes that share them are told apart when pairs are verified.
 ID_BYTES = 5
+#: Size of the bitmaps that bound the overlap of two sets from above.
+BITS = 256
 ID_MASK = (1 << 8 * ID_BYTES) - 1
 #: Sets are filtered by a broadcast list of wanted classes up to this many, by a join beyond it.
 BROADCAST_CLASSES = 1_000_000
@@ -46,14 +48,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def sets(texts: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, h, runs: the sorted hashes of each text's runs of three words and the hash of the whole set.
+    """key, h, runs, bits: the sorted hashes of each text's runs of three words, the hash of the whole set and its bitmap.
 
     Texts of fewer than `min_words` words (null ones too) have no row.
     """
     import xxhash
 
     kind = texts.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("h", T.LongType()), T.StructField("runs", T.ArrayType(T.IntegerType(), False))])
+    schema = T.StructType([T.StructField(key, kind), T.StructField("h", T.LongType()), T.StructField("runs", T.ArrayType(T.IntegerType(), False)), T.StructField("bits", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -85,7 +87,10 @@ def sets(texts: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> D
             value = (packed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             starts = np.searchsorted(own, np.arange(len(n)))
             h = np.add.reduceat(_mix(value.astype(np.uint64) + _M1), starts)
-            yield pd.DataFrame({key: keys, "h": _mix(h).view(np.int64), "runs": np.split(value.view(np.int32), starts[1:])})
+            marks = np.zeros((len(n), BITS), dtype=bool)
+            marks[own, value & np.uint32(BITS - 1)] = True
+            bits = np.packbits(marks, axis=1).view(np.int64)
+            yield pd.DataFrame({key: keys, "h": _mix(h).view(np.int64), "runs": np.split(value.view(np.int32), starts[1:]), "bits": list(bits)})
 
     return texts.where(F.length(text) >= 2 * min_words - 1).select(F.col(key), F.col(text)).mapInPandas(run, schema)
 
@@ -219,15 +224,22 @@ def near_duplicate_classes(texts: DataFrame, key: str, text: str, threshold: flo
     """
     st = staged(sets(texts, key, text), "sets")
     total = st.count()
-    cand = staged(candidates(st, total), "candidates")
-    wanted = cand.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    short = F.col("h").bitwiseAND(F.lit(ID_MASK)).alias("k")
+    cand = candidates(st, total)
+    # sets that share s runs differ in at most |a| + |b| - 2 s of them, so in no more bits: most pairs fall without a look at the sets
+    marks = st.select(short, "h", F.size("runs").alias("n"), "bits").dropDuplicates(["k", "h"])
+    mark = lambda m: marks.select(F.col("k").alias(m), F.col("h").alias(f"h{m}"), F.col("n").alias(f"n{m}"), F.col("bits").alias(f"bits{m}"))
+    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    most = (F.col("na") + F.col("nb") - apart) / 2
+    cand = cand.join(mark("a"), "a").join(mark("b"), "b").where(most >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
+    cand = staged(cand.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).where("a < b").distinct(), "candidates")
+    wanted = cand.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     if wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
-    chosen = st.select("h", F.col("h").bitwiseAND(F.lit(ID_MASK)).alias("k"), "runs").join(wanted, "k", "left_semi").dropDuplicates(["k", "h"])
-    side = lambda n: chosen.select(F.col("k").alias(n), F.col("h").alias(f"h{n}"), F.col("runs").alias(f"r{n}"))
-    both = cand.join(side("a"), "a").join(side("b"), "b")
+    chosen = st.select("h", "runs").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    both = cand.join(chosen.select(F.col("h").alias("a"), F.col("runs").alias("ra")), "a").join(chosen.select(F.col("h").alias("b"), F.col("runs").alias("rb")), "b")
     same = F.size(F.array_intersect("ra", "rb"))
-    links = both.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"), (same / (F.size("ra") + F.size("rb") - same)).alias("similarity")).where(F.col("similarity") >= threshold)
+    links = both.select("a", "b", (same / (F.size("ra") + F.size("rb") - same)).alias("similarity")).where(F.col("similarity") >= threshold)
     return staged(links, "links"), st.select("h", key).distinct()
 
 
