@@ -225,7 +225,7 @@ def near_duplicate_classes(texts: DataFrame, key: str, text: str, threshold: flo
     st = staged(sets(texts, key, text), "sets")
     total = st.count()
     short = F.col("h").bitwiseAND(F.lit(ID_MASK)).alias("k")
-    cand = candidates(st, total)
+    cand = staged(candidates(st, total), "pairs")  # the index entries, the largest shuffle, go before the next one
     # sets that share s runs differ in at most |a| + |b| - 2 s of them, so in no more bits: most pairs fall without a look at the sets
     marks = st.select(short, "h", F.size("runs").alias("n"), "bits").dropDuplicates(["k", "h"])
     mark = lambda m: marks.select(F.col("k").alias(m), F.col("h").alias(f"h{m}"), F.col("n").alias(f"n{m}"), F.col("bits").alias(f"bits{m}"))
