@@ -1,6 +1,7 @@
-"""Lines repeated across one source's pages: found by a log-likelihood ratio and removed.
+"""Lines repeated across one source's pages: found by their pages, scored by a log-likelihood ratio and removed.
 
-For each line class (its letters in lower case) the share of a source's pages that it stands on is compared with the
+A line class (its letters in lower case) on at least `MIN_PAGES` pages of a source is a case, whatever its score.  For
+the score, the share of a source's pages that it stands on is compared with the
 share among the pages of all other sources.  Outside, a class counts once for each source that has it, so that a notice
 which every source repeats does not hide itself.  Dunning's ratio gives a p-value, and the Benjamini-Hochberg step-up rule over
 all classes of all sources sets the level.  All counting is by SQL aggregates keyed on (source, class, page); a source
@@ -75,14 +76,16 @@ def repeated_classes(keyed: DataFrame, min_pages: int = MIN_PAGES, fdr: float =
 
 
 def lines_to_remove(blocks: DataFrame, source: str, page: str, block: str, text: str, min_pages: int = MIN_PAGES) -> DataFrame:
-    """block, line_no of each line whose class is in significant excess in its source; each once.
+    """block, line_no, log10_p, significant of each line whose class is on at least `min_pages` pages of its source; each once.
+
+    The last two are the score of its class; they decide nothing.
 
     Edge cases: null source, page or text: the row has no case (a null page counts for no page); a key counts once;
     an empty table gives an empty result; other columns are not looked at.
     """
     keyed = staged(keyed_lines(blocks, source, page, block, text), "lines")  # the classes are needed three times, the texts once
-    hits = repeated_classes(keyed, min_pages).where("significant").select("src", "k1", "k2")
-    return keyed.join(hits, ["src", "k1", "k2"], "left_semi").select("block", "line_no").distinct()
+    hits = repeated_classes(keyed, min_pages).select("src", "k1", "k2", "log10_p", "significant")
+    return keyed.join(hits, ["src", "k1", "k2"]).groupBy("block", "line_no").agg(F.min("log10_p").alias("log10_p"), F.max("significant").alias("significant"))
 
 
 def remove_repeated(blocks: DataFrame, source: str, page: str, block: str, text: str) -> DataFrame:

@@ -99,3 +99,15 @@ def test_bpe(spark):
     assert {r.k: r.text for r in bpe.decode_ids(coded, "k", "ids", VOCABULARY).collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.encode_texts(df.limit(0), "ids", "text", VOCABULARY).count() == 0
     assert df.where(F.col("text").isNull()).count() == 1
+
+
+def test_repeated_lines_of_a_hot_source_and_of_all_sources(spark):
+    word = lambda n: "".join(chr(97 + int(c)) for c in f"{n:04d}")
+    # a source with a third of all pages has a line on 4 of them; a notice is on 4 pages of every source
+    rows = [(p, "hot", p, f"own words of page {word(p)} here" + ("\nA line of the hot source" if p < 4 else "") + ("\nThe notice of all sources" if p < 4 else "")) for p in range(300)]
+    rows += [(1000 + 60 * d + p, f"d{d}", p, f"own words of page {word(1000 + 60 * d + p)} here" + ("\nThe notice of all sources" if p < 4 else "")) for d in range(10) for p in range(60)]
+    df = spark.createDataFrame(rows, "block int, source string, page int, line string")
+    found = repeated_lines.lines_to_remove(df, "source", "page", "block", "line").collect()
+    want = {(b, i) for b, _, _, t in rows for i in range(2, t.count("\n") + 2)}
+    assert {(r.block, r.line_no) for r in found} == want and len(found) == len(want)
+    assert not all(r.significant for r in found)
