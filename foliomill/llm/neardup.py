@@ -3,8 +3,8 @@
 A text is the set of its runs of three words.  A signature of `SEGMENTS` x `WIDTH` minimum hashes is cut into segments
 that are few and wide enough for one of them to differ in at most one symbol in nearly all pairs above the threshold;
 every segment is indexed once for each of its symbols, with a wildcard in its place.  Texts whose variants are equal are
-compared exactly.  Symbols are drawn from a text's rarer runs (runs in more than `COMMON` of all texts, by counts over
-the whole collection, tell little); texts made up mostly of common runs are indexed by all of their runs as well.
+compared exactly.  Symbols are drawn from all runs of a text, common ones too: every two texts stand in the same index,
+and their chance to meet depends on nothing but the similarity of their whole sets.
 
 Texts with equal sets are one class with one signature, so copies are never paired with each other before the end.
 """
@@ -22,11 +22,6 @@ from foliomill.session import staged
 
 SHINGLE, MIN_WORDS, THRESHOLD = 3, 40, 0.5
 SEGMENTS, WIDTH = 16, 4
-#: A run is common if more than this share of all texts hold it.
-COMMON = 0.005
-#: A text is indexed by all of its runs too if fewer than this share of them are rare.
-RARE_SHARE = 0.4
-BUCKETS, CHUNKS = 1 << 20, 64
 #: Index entries of one task.
 TASK_ENTRIES = 3_000_000
 #: An entry holds so many bytes of its class's hash.  Classes that share them are told apart when pairs are verified.
@@ -95,48 +90,22 @@ def sets(texts: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> D
     return texts.where(F.length(text) >= 2 * min_words - 1).select(F.col(key), F.col(text)).mapInPandas(run, schema)
 
 
-def common_buckets(runs: DataFrame, total: int, share: float = COMMON) -> np.ndarray:
-    """True for each bucket of hashes that more than `share` of all texts fall into.
-
-    Every task counts all of its rows in a table of fixed size, and the tables are added up by ranges.
-    """
-    width = BUCKETS // CHUNKS
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(BUCKETS, dtype=np.int64)
-        for b in batches:
-            if len(b):
-                seen += np.bincount(np.concatenate(b["runs"].to_list()).view(np.uint32) & (BUCKETS - 1), minlength=BUCKETS)
-        yield pd.DataFrame({"chunk": np.arange(CHUNKS, dtype=np.int32), "counts": [seen[i * width : (i + 1) * width].tobytes() for i in range(CHUNKS)]})
-
-    least = max(share * total, 20)
-
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        whole = sum(np.frombuffer(x, dtype=np.int64) for x in g["counts"])
-        return pd.DataFrame({"bucket": (np.nonzero(whole > least)[0] + int(g["chunk"].iloc[0]) * width).astype(np.int32)})
-
-    rows = runs.select("runs").mapInPandas(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "bucket int")
-    flags = np.zeros(BUCKETS, dtype=bool)
-    flags[[r["bucket"] for r in rows.collect()]] = True  # at most BUCKETS, whatever the input
-    return flags
-
-
-def _symbols(values: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
+def _symbols(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Minimum hashes, one row for each symbol."""
-    rng = np.random.default_rng(1234 + salt)
+    rng = np.random.default_rng(1234)
     a = rng.integers(1, 1 << 63, SEGMENTS * WIDTH, dtype=np.uint64) | np.uint64(1)
     c = rng.integers(0, 1 << 63, SEGMENTS * WIDTH, dtype=np.uint64)
-    x = _mix(values.astype(np.uint64) + np.uint64(salt))
+    x = _mix(values.astype(np.uint64))
     return np.stack([np.minimum.reduceat((x * a[i] + c[i]) >> np.uint64(32), starts) for i in range(SEGMENTS * WIDTH)])
 
 
-def variants(values: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
+def variants(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Hashes of each set's segments with one symbol left out: SEGMENTS * WIDTH rows."""
-    s = _symbols(values, starts, salt)
+    s = _symbols(values, starts)
     out = []
     for g in range(SEGMENTS):
         for skip in range(WIDTH):
-            x = np.full(s.shape[1], (salt * SEGMENTS + g) * WIDTH + skip + 1, dtype=np.uint64)
+            x = np.full(s.shape[1], g * WIDTH + skip + 1, dtype=np.uint64)
             for j in range(WIDTH):
                 if j != skip:
                     x = _mix(x * _M1 + s[g * WIDTH + j])
@@ -146,7 +115,6 @@ def variants(values: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
 
 def candidates(st: DataFrame, total: int) -> DataFrame:
     """a < b: the short ids of each two classes that share a variant, once."""
-    common = st.sparkSession.sparkContext.broadcast(common_buckets(st, total))
     tasks = max(1, -(-total * SEGMENTS * WIDTH // TASK_ENTRIES))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,21 +127,9 @@ def candidates(st: DataFrame, total: int) -> DataFrame:
                 continue
             h = b["h"].to_numpy()[fresh]
             runs = [b["runs"].iloc[i] for i in fresh]
-            size = np.array([len(r) for r in runs])
-            flat = np.concatenate(runs).view(np.uint32)
-            owner = np.repeat(np.arange(len(h)), size)
-            rare = ~common.value[flat & (BUCKETS - 1)]
-            n_rare = np.bincount(owner[rare], minlength=len(h))
-            sigs, ids = [], []
-            for salt, use in ((0, n_rare >= 1), (1, n_rare < RARE_SHARE * size)):
-                chosen = use[owner] & (rare if salt == 0 else True)
-                if chosen.any():
-                    who = owner[chosen]
-                    starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-                    v = variants(flat[chosen], starts, salt)
-                    sigs.append(v.ravel())
-                    ids.append(np.tile(h[who[starts]], len(v)))
-            sig, own = np.concatenate(sigs), np.concatenate(ids)
+            starts = np.cumsum([0] + [len(r) for r in runs[:-1]])
+            v = variants(np.concatenate(runs).view(np.uint32), starts)
+            sig, own = v.ravel(), np.tile(h, len(v))
             target = (sig % np.uint64(tasks)).astype(np.int32)
             order = np.argsort(target, kind="stable")
             target, sig, own = target[order], (sig[order] >> np.uint64(32)).astype(np.uint32), own[order]

@@ -143,3 +143,16 @@ def test_many_copies_are_one_class(spark):
     links, members = neardup.near_duplicate_classes(df, "id", "t")
     assert links.count() == 0
     assert members.groupBy("h").count().agg(F.max("count")).first()[0] == 3000
+
+
+def test_a_common_text_is_paired_with_texts_that_hold_it(spark):
+    notice = [f"n{j}" for j in range(102)]
+    # a third of all rows are the notice or hold it beside 70 % of own text; the rest has nothing in common with it
+    rows = [(i, " ".join(notice)) for i in range(60)] + [(100 + i, " ".join(notice + [f"own{i}x{j}" for j in range(70)])) for i in range(40)]
+    rows += [(1000 + i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(200)]
+    # of 100 runs each, 50 common ones and 17 rare ones are shared
+    rows += [(2000 + i, " ".join(notice[:52] + ["rare"] + [f"rare{j}" for j in range(16)] + [f"tail{i}x{j}" for j in range(33)])) for i in range(2)]
+    links, members = neardup.near_duplicate_classes(spark.createDataFrame(rows, "id int, t string"), "id", "t")
+    got = {tuple(r) for r in neardup.pairs(links, members, "id").collect()}
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60)} | {(a, 100 + b) for a in range(60) for b in range(40)}
+    assert want <= got and (2000, 2001) in got
