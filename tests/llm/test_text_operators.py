@@ -101,6 +101,18 @@ def test_names(spark, field, groups):
     assert names.link_names(df.limit(0), "book_id", field, field).count() == 0
 
 
+def test_variants_of_a_work_with_many_spellings_are_linked(spark):
+    plain, typed = "Gejesaner Disease of the Thyroid", ["Disaese", "Diseas", "Dissease", "Diesase", "Dicease", "Dizeae"]
+    rows = [plain] + [f"{plain.replace(a, b)}" for a, b in [("Thyroid", "Thyriod"), ("Thyroid", "Thyrod"), ("Disease", "Diease")]] + [plain.replace("Disease", x) for x in typed[:5]] + ["Gejesaner Disaese of the Thyriod"]
+    # other spellings of the work, so that each of its words is frequent
+    rows += [f"{plain.replace(' of ', sep)}{end}" for sep in (" of ", " - ", ": ", " (of) ", " / ") for end in ("", ".", "!", ";", "?", " .", " -", " *")][1:]
+    rows += ["Gejesaner Disease of the Lung", "Mobutiver Disease of the Thyroid"]
+    df = spark.createDataFrame(list(enumerate(rows)), "book_id int, title string")
+    got = {r.book_id: r.entity for r in names.link_names(df, "book_id", "title", "title").collect()}
+    assert len(got) == len(rows) and {got[i] for i in range(len(rows) - 2)} == {got[0]}
+    assert len(set(got.values())) == 3
+
+
 def test_an_initial_that_may_be_two_people_is_left_out(spark):
     df = spark.createDataFrame([(1, "Robert Zokostile"), (2, "Rosalind Zokostile"), (3, "R. Zokostile")], "book_id int, author string")
     assert names.linked_pairs(names.link_names(df, "book_id", "author", "author"), "book_id").count() == 0
