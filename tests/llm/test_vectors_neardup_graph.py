@@ -156,3 +156,48 @@ def test_a_common_text_is_paired_with_texts_that_hold_it(spark):
     got = {tuple(r) for r in neardup.pairs(links, members, "id").collect()}
     want = {(a, b) for a in range(60) for b in range(a + 1, 60)} | {(a, 100 + b) for a in range(60) for b in range(40)}
     assert want <= got and (2000, 2001) in got
+
+
+def test_entries_of_one_variant_are_compared_in_tiles(spark, monkeypatch):
+    rnd = random.Random(10)
+    base = text(rnd, 60)
+    rows = [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(50)] + [(100 + i, " ".join(text(rnd, 60))) for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    st = neardup.sets(df, "id", "t").cache()
+    whole = {tuple(r) for r in neardup.candidates(st, 100).collect()}
+    # groups of one variant in tiles, within the process so that the size is seen
+    kind, h = neardup.entry_type(4), st.toPandas()
+    _, e = neardup.entries(h["h"].to_numpy(), [np.asarray(r, dtype=np.int32) for r in h["runs"]], np.stack([np.asarray(b) for b in h["bits"]]).view(np.uint64), range(16), 4)
+    monkeypatch.setattr(neardup, "TILE", 8)
+    tiles, pairs = 0, set()
+    for f in neardup.matches(e, 4, 0.5):
+        for a, b, x, y in f.itertuples(index=False):
+            if x is None:
+                pairs.add((a, b))
+            else:
+                tiles += 1
+                both = np.frombuffer(x + y, dtype=kind)
+                n = len(x) // kind.itemsize
+                i, j = np.triu_indices(n, 1) if x == y else (g.ravel() for g in np.meshgrid(np.arange(n), np.arange(n, len(both)), indexing="ij"))
+                pairs |= {tuple(r) for r in neardup._pairs_of(both, i, j, 0.5).itertuples(index=False)}
+    assert tiles and {p for p in pairs if p[0] < p[1]} == whole and len(whole) >= 1225
+
+
+def test_segments_get_wider_with_the_collection():
+    for total, width in ((1000, 4), (10**7, 5), (10**9, 7)):
+        count, w = neardup.shape(total)
+        assert w == width and (1 - (w + 1) / 2**w) ** count <= neardup.MISSED
+
+
+def test_bitmaps_bound_the_overlap_from_above():
+    rng = np.random.default_rng(11)
+    for _ in range(50):
+        a = rng.choice(5000, rng.integers(38, 200), replace=False)
+        b = np.r_[rng.choice(a, rng.integers(1, len(a)), replace=False), 5000 + rng.choice(5000, 40, replace=False)]
+        e = np.zeros(2, dtype=neardup.entry_type(4))
+        for k, x in enumerate((a, b)):
+            m = np.zeros(neardup.BITS, dtype=bool)
+            m[x % neardup.BITS] = True
+            e["bits"][k], e["n"][k] = np.packbits(m).view(np.uint64), len(x)
+        true = len(set(a) & set(b)) / len(set(a) | set(b))
+        assert true < 0.5 or neardup._possible(e, np.array([0]), np.array([1]), 0.5)[0]
