@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from foliomill.session import staged
@@ -56,52 +57,62 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _Hashes(dict):
+    """Words with their hashes, computed at first use."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), pa.array(values))
+
+
 def sets(texts: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """key, h, runs, bits: the sorted hashes of each text's runs of three words, the hash of the whole set and its bitmap.
 
     Texts of fewer than `min_words` words (null ones too) have no row.
     """
-    import xxhash
-
     kind = texts.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("h", T.LongType()), T.StructField("runs", T.ArrayType(T.IntegerType(), False)), T.StructField("bits", T.ArrayType(T.LongType(), False))])
+    schema = T.StructType([T.StructField(key, kind), T.StructField("h", T.LongType()), T.StructField("runs", T.ArrayType(T.IntegerType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        find = _WORD.findall
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        find, hash_of = _WORD.findall, known.__getitem__
         for b in batches:
-            b.columns = ["k", "t"]
-            ids: list[int] = []
-            keys, lengths = [], []
             if len(known) > 1_000_000:
                 known.clear()
-            for k, t in zip(b["k"], b["t"]):
+            words: list[str] = []
+            places, lengths = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
                 ws = find(t.lower())
                 if len(ws) >= min_words:
-                    for w in ws:
-                        if w not in known:
-                            known[w] = xxhash.xxh64_intdigest(w)
-                    ids += [known[w] for w in ws]
-                    keys.append(k)
+                    words += ws
+                    places.append(i)
                     lengths.append(len(ws))
-            if not keys:
+            if not places:
                 continue
-            w = np.array(ids, dtype=np.uint64)
+            w = np.fromiter(map(hash_of, words), dtype=np.uint64, count=len(words))
             n = np.array(lengths)
             owner = np.repeat(np.arange(len(n)), n)
             g = _mix(w[:-2] * _M1 + _mix(w[1:-1] * _M2 + _mix(w[2:])))
             inside = owner[:-2] == owner[2:]
-            packed = np.unique((owner[:-2][inside].astype(np.uint64) << np.uint64(32)) | (g[inside] & np.uint64(0xFFFFFFFF)))
+            packed = np.sort((owner[:-2][inside].astype(np.uint64) << np.uint64(32)) | (g[inside] & np.uint64(0xFFFFFFFF)))
+            packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
             own = (packed >> np.uint64(32)).astype(np.int64)
             value = (packed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             starts = np.searchsorted(own, np.arange(len(n)))
             h = np.add.reduceat(_mix(value.astype(np.uint64) + _M1), starts)
-            marks = np.zeros((len(n), BITS), dtype=bool)
-            marks[own, value % np.uint32(BITS)] = True
-            bits = np.packbits(marks, axis=1).view(np.int64)
-            yield pd.DataFrame({key: keys, "h": _mix(h).view(np.int64), "runs": np.split(value.view(np.int32), starts[1:]), "bits": list(bits)})
+            marks = np.zeros(len(n) * BITS, dtype=bool)
+            marks[own * BITS + value % np.uint32(BITS)] = True
+            bits = np.packbits(marks).view(np.int64)
+            columns = [b.column(0).take(pa.array(places)), pa.array(_mix(h).view(np.int64)), _lists(value.view(np.int32), starts), _lists(bits, np.arange(len(n)) * (BITS // 64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "h", "runs", "bits"])
 
-    return texts.where(F.length(text) >= 2 * min_words - 1).select(F.col(key), F.col(text)).mapInPandas(run, schema)
+    return texts.where(F.length(text) >= 2 * min_words - 1).select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
 def shape(total: int, threshold: float = THRESHOLD) -> tuple[int, int]:
@@ -131,10 +142,9 @@ def entry_type(width: int) -> np.dtype:
     return np.dtype([("half", "<u4"), ("rest", "<u2", (width - width // 2,)), ("id", "u1", (ID_BYTES,)), ("n", "<u2"), ("bits", "<u8", (BITS // 64,))])
 
 
-def entries(h: np.ndarray, runs: list[np.ndarray], bits: np.ndarray, segments: range, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(where each entry goes, the entries) of the given classes."""
-    n = np.array([len(r) for r in runs])
-    s = symbols(np.concatenate(runs).view(np.uint32), np.r_[0, np.cumsum(n)[:-1]], segments, width)
+def entries(h: np.ndarray, runs: np.ndarray, n: np.ndarray, bits: np.ndarray, segments: range, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where each entry goes, the entries) of classes with the given hashes, runs one after the other, sizes and bitmaps."""
+    s = symbols(runs.view(np.uint32), np.r_[0, np.cumsum(n)[:-1]], segments, width)
     low, out, target = width // 2, [], []
     one = np.zeros(len(h), dtype=entry_type(width))
     one["id"] = np.ascontiguousarray(h & ID_MASK).view(np.uint8).reshape(-1, 8)[:, :ID_BYTES]
@@ -219,20 +229,19 @@ def candidates(st: DataFrame, total: int, threshold: float = THRESHOLD) -> DataF
         segments = range(begin, min(begin + ROUND, count))
         tasks = max(int(st.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * len(segments) * 2 // TASK_ENTRIES))
 
-        def index(batches: Iterator[pd.DataFrame], segments: range = segments, tasks: int = tasks) -> Iterator[pd.DataFrame]:
-            seen: set[int] = set()  # copies within a task are indexed once
+        def index(batches: Iterator[pa.RecordBatch], segments: range = segments, tasks: int = tasks) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                fresh = [i for i, h in enumerate(b["h"]) if not (h in seen or seen.add(h))]
-                if len(seen) > 2_000_000:
-                    seen.clear()
-                if not fresh:
+                h, at = np.unique(b.column(0).to_numpy(), return_index=True)  # copies within a batch are indexed once
+                if not len(h):
                     continue
-                target, e = entries(b["h"].to_numpy()[fresh], [b["runs"].iloc[i] for i in fresh], np.stack(b["bits"].iloc[fresh].to_list()).view(np.uint64), segments, width)
+                runs, bits = b.column(1).take(pa.array(at)), b.column(2).take(pa.array(at))
+                n = np.diff(runs.offsets.to_numpy())
+                target, e = entries(h, runs.flatten().to_numpy(), n, bits.flatten().to_numpy().view(np.uint64).reshape(len(h), -1), segments, width)
                 target = target % tasks
                 order = np.argsort(target, kind="stable")
                 target, e = target[order], e[order]
                 cut = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-                yield pd.DataFrame({"target": target[cut].astype(np.int32), "entries": [e[i:j].tobytes() for i, j in zip(cut, np.r_[cut[1:], len(e)])]})
+                yield pa.RecordBatch.from_arrays([pa.array(target[cut].astype(np.int32)), pa.array([e[i:j].tobytes() for i, j in zip(cut, np.r_[cut[1:], len(e)])], pa.binary())], names=["target", "entries"])
 
         def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict[int, list[bytes]] = {}
@@ -244,7 +253,7 @@ def candidates(st: DataFrame, total: int, threshold: float = THRESHOLD) -> DataF
                 e = np.unique(np.frombuffer(b"".join(held.pop(t)), dtype=np.dtype((np.void, kind.itemsize)))).view(kind)
                 yield from matches(e, width, threshold)
 
-        found = st.select("h", "runs", "bits").mapInPandas(index, "target int, entries binary").repartition(tasks, "target").mapInPandas(pair, _FOUND)
+        found = st.select("h", "runs", "bits").mapInArrow(index, "target int, entries binary").repartition(tasks, "target").mapInPandas(pair, _FOUND)
         rounds.append(staged(found, "pairs"))  # the entries of a round leave the disk before the next one begins
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -167,7 +167,7 @@ def test_entries_of_one_variant_are_compared_in_tiles(spark, monkeypatch):
     whole = {tuple(r) for r in neardup.candidates(st, 100).collect()}
     # groups of one variant in tiles, within the process so that the size is seen
     kind, h = neardup.entry_type(4), st.toPandas()
-    _, e = neardup.entries(h["h"].to_numpy(), [np.asarray(r, dtype=np.int32) for r in h["runs"]], np.stack([np.asarray(b) for b in h["bits"]]).view(np.uint64), range(16), 4)
+    _, e = neardup.entries(h["h"].to_numpy(), np.concatenate(h["runs"]).astype(np.int32), h["runs"].map(len).to_numpy(), np.stack([np.asarray(b) for b in h["bits"]]).view(np.uint64), range(16), 4)
     monkeypatch.setattr(neardup, "TILE", 8)
     tiles, pairs = 0, set()
     for f in neardup.matches(e, 4, 0.5):
