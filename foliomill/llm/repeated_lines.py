@@ -1,10 +1,9 @@
 """Lines repeated across one source's pages: found by their pages, scored by a log-likelihood ratio and removed.
 
 A line class (its letters in lower case) on at least `MIN_PAGES` pages of a source is a case, whatever its score.  For
-the score, the share of a source's pages that it stands on is compared with the
-share among the pages of all other sources.  Outside, a class counts once for each source that has it, so that a notice
-which every source repeats does not hide itself.  Dunning's ratio gives a p-value, and the Benjamini-Hochberg step-up rule over
-all classes of all sources sets the level.  All counting is by SQL aggregates keyed on (source, class, page); a source
+the score, the share of the source's pages that it stands on is compared with the share of the pages of all other sources
+that it stands on.  Dunning's ratio gives a p-value, and the Benjamini-Hochberg step-up rule over all classes of all sources
+sets the level.  A collection of one source has no pages outside: one page without any of its lines stands for them, and scores are near nothing.  All counting is by SQL aggregates keyed on (source, class, page); a source
 with a third of all rows is spread over its classes and pages.
 """
 
@@ -54,11 +53,11 @@ def repeated_classes(keyed: DataFrame, min_pages: int = MIN_PAGES, fdr: float =
     totals = placed.select("src", "page").distinct().groupBy("src").agg(F.count("*").alias("n_source"))
     all_pages = totals.agg(F.sum("n_source").alias("all_pages"))
     tests = by_class.agg(F.count("*").alias("all_classes"))
-    outside = by_class.join(often.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("sources"))
+    outside = by_class.join(often.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.sum("pages").alias("everywhere"))
     df = often.join(outside, ["k1", "k2"]).join(totals, "src").crossJoin(F.broadcast(all_pages))
     a, n1 = F.col("pages").cast("double"), F.col("n_source").cast("double")
-    b = (F.col("sources") - 1).cast("double")
-    n2 = F.greatest((F.col("all_pages") - F.col("n_source")).cast("double"), b, F.lit(1.0))
+    b = (F.col("everywhere") - F.col("pages")).cast("double")
+    n2 = F.greatest((F.col("all_pages") - F.col("n_source")).cast("double"), F.lit(1.0))
     eps = 1e-12
     rate = lambda k, n: F.least(F.greatest(k / n, F.lit(eps)), F.lit(1 - eps))
     both = rate(a + b, n1 + n2)
