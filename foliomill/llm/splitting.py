@@ -3,7 +3,8 @@
 Every token is reduced to one letter that says how strong the boundary after it is: ``p`` paragraph, ``l`` line,
 ``s`` sentence, ``c`` clause, ``w`` none.  One regular expression with bounded quantifiers, its alternatives ordered by
 strength, then cuts this string into pieces that each consume up to the limit; the last alternative takes as many
-tokens as fit when there is no boundary.  The lengths of the matches are token offsets, and looking back from each
+tokens as fit when there is no boundary.  A token of more than `TOKEN_CHARS` characters counts as several, so that a text
+without white space is cut by characters.  The lengths of the matches are token offsets, and looking back from each
 offset supplies the overlap.  Everything is an SQL expression of one row, so there is no shuffle and no Python.
 """
 
@@ -15,6 +16,8 @@ from foliomill.text import ASCII_SOLID, ASCII_SPACE, SOLID, SPACE, is_ascii, tok
 
 #: Boundaries from the strongest to the weakest; a piece ends at the strongest one in the last half of its room.
 STRENGTHS = "plsc"
+#: Characters that a token may have before it is cut.
+TOKEN_CHARS = 4096
 
 
 def _codes(parts: Column) -> Column:
@@ -46,7 +49,7 @@ def _pattern(limit: Column, overlap: Column) -> Column:
     return F.concat(first, F.lit("|"), later)
 
 
-def split_oversized(items: DataFrame, text: str, limit: str, overlap: str) -> DataFrame:
+def split_oversized(items: DataFrame, text: str, limit: str, overlap: str, token_chars: int = TOKEN_CHARS) -> DataFrame:
     """Cut each row's `text` into pieces of at most `limit` white-space tokens.
 
     Returns the columns of `items` (without `text`) and ``piece_no`` from 0, ``first_token`` (offset in the text),
@@ -55,14 +58,16 @@ def split_oversized(items: DataFrame, text: str, limit: str, overlap: str) -> Da
 
     Edge cases: a null or blank text gives no piece; a text within the limit gives one; a null limit or one below 1
     leaves the text whole; a null or negative overlap counts as 0 and one of `limit` or more as ``limit - 1``.  A
-    token is never cut, however long.  Repeated rows give repeated pieces.  Names of `items` never clash with the
+    token is cut after each `token_chars` characters, and its parts count as tokens, so that no piece is longer than
+    `limit` times as many characters and the white space between them.  Repeated rows give repeated pieces.  Names of `items` never clash with the
     scratch columns, which live in one struct.
     """
     t, z = F.col(text), "__split"
-    cut_at = lambda solid, space: F.regexp_extract_all(t, F.lit(f"{solid}+{space}*"), F.lit(0))
+    cut_at = lambda solid, space: F.regexp_extract_all(t, F.lit(f"{solid}{{1,{token_chars}}}{space}*"), F.lit(0))
     parts = F.when(is_ascii(t), cut_at(ASCII_SOLID, ASCII_SPACE)).otherwise(cut_at(SOLID, SPACE))
-    lim = F.when(F.col(limit) >= 1, F.col(limit)).otherwise(F.greatest(token_count(t), F.lit(1))).cast("int")
-    df = items.withColumn(z, F.struct(parts.alias("parts"), lim.alias("limit")))
+    lim = F.when(F.col(limit) >= 1, F.col(limit)).otherwise(F.greatest(F.size(F.col(f"{z}.parts")), F.lit(1))).cast("int")
+    df = items.withColumn(z, F.struct(parts.alias("parts")))
+    df = df.withColumn(z, F.struct(F.col(f"{z}.parts").alias("parts"), lim.alias("limit")))
     at = lambda n: F.col(f"{z}.{n}")
     lap = F.least(F.greatest(F.coalesce(F.col(overlap), F.lit(0)), F.lit(0)), at("limit") - 1).cast("int")
     df = df.withColumn(z, F.struct(at("parts").alias("parts"), at("limit").alias("limit"), lap.alias("lap"), _codes(at("parts")).alias("codes")))
