@@ -3,8 +3,8 @@
 The code points of the collection and the strings they stand for (compatibility and canonical decompositions) are the
 nodes of a union-find forest; characters that cannot be told apart join two nodes, and classes are transitive.  Each
 class is represented by its most frequent member, by counts over all texts; a class with a longer member by that, so
-that ligatures fall apart.  An Aho-Corasick automaton over all members rewrites a text in one greedy pass from left to
-right; accents are composed at the end.
+that ligatures fall apart.  An Aho-Corasick automaton over all members, strings such as a letter with its accent among
+them, rewrites a text in one greedy pass from left to right; what accents then stand on a rewritten letter are composed.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ class Forest:
 
 
 def representatives(counts: dict[str, int]) -> dict[str, str]:
-    """What each code point of the collection is rewritten to, where that is another string than itself.
+    """What each code point and each string of the collection's classes is rewritten to, where that is not itself.
 
     `counts` has how often each code point stands in the collection.
     """
@@ -92,13 +92,13 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
             chosen[m] = best
 
     def whole(s: str, seen: frozenset = frozenset()) -> str:
-        """A longer member is rewritten character by character."""
+        """A longer representative is rewritten character by character."""
         out = chosen.get(s, s)
         if len(out) <= 1 or out in seen:
             return out
         return "".join(whole(c, seen | {out}) for c in out)
 
-    return {c: w for c in chars if (w := whole(c)) != c}
+    return {m: w for m in chars | set(forest.parent) if m and (w := unicodedata.normalize("NFC", whole(m))) != m}
 
 
 def character_counts(texts: DataFrame) -> dict[str, int]:
@@ -179,7 +179,7 @@ def look_alike_pairs(forms: DataFrame, key: str) -> DataFrame:
     """
     f1, f2 = _hashes("form")
     t1, t2 = _hashes("text")
-    rows = forms.where("form IS NOT NULL AND form != ''").select(F.col(key).alias("id"), f1.alias("f1"), f2.alias("f2"), t1.alias("t1"), t2.alias("t2"), (F.col("text") != F.col("form")).alias("other"))
+    rows = forms.where("form IS NOT NULL").select(F.col(key).alias("id"), f1.alias("f1"), f2.alias("f2"), t1.alias("t1"), t2.alias("t2"), (F.col("text") != F.col("form")).alias("other"))
     from foliomill.session import staged
 
     rows = staged(rows, "forms")
