@@ -33,13 +33,13 @@ def grams(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, at).otherwise(F.array().cast("array<bigint>"))
 
 
-def seeds(items: DataFrame, corpus_grams: DataFrame, gram: int = GRAM, run: int = MIN_RUN) -> DataFrame:
+def seeds(items: DataFrame, held: DataFrame, gram: int = GRAM, run: int = MIN_RUN) -> DataFrame:
     """item_id, gram, pos: for each window of `run` words its rarest n-gram; ties go to the first.
 
-    An item shorter than `run` words is one window; one shorter than `gram` words has none.
+    `held` has a row for each place of the corpus where an n-gram of an item stands.  An item shorter than `run` words is one window; one shorter than `gram` words has none.
     """
     at = items.select("item_id", F.posexplode("grams").alias("pos", "gram"))
-    df = corpus_grams.join(_small(at.select("gram").distinct(), at), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    df = held.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = at.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     width = run - gram + 1  # n-grams in a window
     last = F.max("pos").over(Window.partitionBy("item_id"))
@@ -89,10 +89,11 @@ def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, run: int = M
     it = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= gram).distinct()
     it = it.withColumn("grams", grams(F.col("w"), gram))
     docs = documents.where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("dw")).where(F.size("dw") >= gram)
-    corpus = docs.select(F.explode(grams(F.col("dw"), gram)).alias("gram"))
-    sd = seeds(it, corpus, gram, run)
-    hits = docs.select("doc_id", "dw", F.posexplode(grams(F.col("dw"), gram)).alias("at", "gram"))
     small = it.select(F.explode("grams").alias("gram"))
+    # the n-grams of all documents are made once; what stays are the places of those that an item holds
+    hits = docs.select("doc_id", F.posexplode(grams(F.col("dw"), gram)).alias("at", "gram"))
+    hits = staged(hits.join(_small(small.distinct(), small), "gram", "left_semi"), "hits")
+    sd = seeds(it, hits, gram, run)
     # where a seed stands, without the words: a posting of a few bytes
     found = hits.select("doc_id", "at", "gram").join(_small(sd, small), "gram").groupBy("doc_id", "item_id").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count_distinct("pos").alias("seeds"))
     found = staged(found, "postings")
