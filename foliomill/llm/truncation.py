@@ -90,9 +90,9 @@ def _rows(batch: list[tuple[str, bool]]) -> np.ndarray:
     return np.array([r + [0] * (width - len(r)) for r in out], dtype=np.int32)  # place 0 has no weight
 
 
-def fit(tails: list[str], near: list[bool], cut: list[bool], rounds: int = 25, seed: int = 5) -> np.ndarray:
-    """Weights of a logistic regression with a small ridge; place 0 stays 0 and the last place is the constant."""
-    x, y = _rows(list(zip(tails, near))), np.array(cut, dtype=np.float64)
+def fit(x: np.ndarray, cut: np.ndarray, rounds: int = 25, seed: int = 5) -> np.ndarray:
+    """Weights of a logistic regression with a small ridge over hashed rows; place 0 stays 0 and the last place is the constant."""
+    y = np.array(cut, dtype=np.float64)
     w, g2, b, rng = np.zeros(DIMENSIONS + 1), np.full(DIMENSIONS + 1, 1e-8), DIMENSIONS, np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
         w[b] = -1.0 if not len(y) or not y[0] else 1.0
@@ -103,8 +103,7 @@ def fit(tails: list[str], near: list[bool], cut: list[bool], rounds: int = 25, s
             at = order[i : i + 256]
             p = 1 / (1 + np.exp(-np.clip(w[x[at]].sum(axis=1) + w[b], -30, 30)))
             err = (p - y[at]) / len(at)
-            g = np.zeros_like(w)
-            np.add.at(g, x[at].ravel(), np.repeat(err, x.shape[1]))
+            g = np.bincount(x[at].ravel(), np.repeat(err, x.shape[1]), len(w))
             g[b] = err.sum()
             g += 1e-6 * w
             g[0] = 0
@@ -113,10 +112,8 @@ def fit(tails: list[str], near: list[bool], cut: list[bool], rounds: int = 25, s
     return w
 
 
-def score(w: np.ndarray, tails: list[str], near: list[bool]) -> np.ndarray:
-    if not len(tails):
-        return np.zeros(0)
-    return 1 / (1 + np.exp(-np.clip(w[_rows(list(zip(tails, near)))].sum(axis=1) + w[DIMENSIONS], -30, 30)))
+def score(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(w[x].sum(axis=1) + w[DIMENSIONS], -30, 30))) if len(x) else np.zeros(0)
 
 
 def training_rows(texts: DataFrame, total: int, sample: int = SAMPLE) -> pd.DataFrame:
@@ -155,18 +152,18 @@ def find_truncated(docs: DataFrame, key: str, source: str, text: str, sample: in
     # at most one row for each source; Spark broadcasts it only below its own threshold
     rows = rows.join(limits, "source", "left").select(key, "source", "text", near.alias("near"), F.xxhash64("text", F.col(key)).alias("h"))
     made = training_rows(rows.select("text", "near", "h"), rows.count(), sample)
-    tails, nears, cuts = made["tail"].tolist(), made["near"].tolist(), made["cut"].to_numpy(dtype=bool)
-    w = fit(tails, nears, cuts)
+    x, cuts = _rows(list(zip(made["tail"], made["near"]))), made["cut"].to_numpy(dtype=bool)
+    w = fit(x, cuts)
     for _ in range(2):
-        if len(tails):
-            sure = cuts | (score(w, tails, nears) < 0.5)
-            w = fit([t for t, s in zip(tails, sure) if s], [n for n, s in zip(nears, sure) if s], cuts[sure])
+        if len(x):
+            sure = cuts | (score(w, x) < 0.5)
+            w = fit(x[sure], cuts[sure])
     held = docs.sparkSession.sparkContext.broadcast(w)  # DIMENSIONS + 1 numbers
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = score(held.value, b["tail"].tolist(), b["near"].tolist())
+            p = score(held.value, _rows(list(zip(b["tail"], b["near"]))))
             yield pd.DataFrame({key: b[key], "source": b["source"], "probability": p, "cut": p > 0.5})
 
     return rows.select(key, "source", F.right("text", F.lit(TAIL)).alias("tail"), "near").mapInPandas(run, f"`{key}` {kind}, source string, probability double, cut boolean")
