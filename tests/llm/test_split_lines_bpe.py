@@ -21,7 +21,7 @@ def test_split(spark):
     for r in splitting.split_oversized(df, "text", "lim", "lap").collect():
         got[r.id].append(r)
     for i, text, lim, lap, _ in rows[:-1]:
-        want = (text or "").split()
+        want = [w[j : j + splitting.TOKEN_CHARS] for w in (text or "").split() for j in range(0, len(w), splitting.TOKEN_CHARS)]
         ps = sorted(got.get(i, []), key=lambda r: r.piece_no)
         if i == 97:
             ps = ps[::2]
@@ -111,3 +111,32 @@ def test_repeated_lines_of_a_hot_source_and_of_all_sources(spark):
     want = {(b, i) for b, _, _, t in rows for i in range(2, t.count("\n") + 2)}
     assert {(r.block, r.line_no) for r in found} == want and len(found) == len(want)
     assert not all(r.significant for r in found)
+
+
+def test_text_without_white_space_is_cut_by_characters(spark):
+    long = "x" * 100_000
+    df = spark.createDataFrame([(1, long, 4, 1), (2, "a " + long + " b", 4, 0), (3, long, None, 1)], "id int, text string, lim int, lap int")
+    got = {}
+    for r in splitting.split_oversized(df, "text", "lim", "lap", token_chars=1000).orderBy("id", "piece_no").collect():
+        got.setdefault(r.id, []).append(r)
+    assert all(len(r.piece) <= 4 * 1000 + 3 and r.token_count <= 4 for i in (1, 2) for r in got[i]) and len(got[3]) == 1
+    assert "".join(r.piece[r.overlap_count * 1000 :] for r in got[1]) == long
+    assert got[2][0].piece.startswith("a x") and got[2][-1].piece.endswith("x b")
+
+
+def lines(rows):
+    return [(d, p, i, t) for i, (d, p, t) in enumerate(rows)]
+
+
+def test_cases_do_not_depend_on_other_sources(spark):
+    notice, own = "Share this article with your friends", "A line that one source alone repeats"
+    one = [("s", p, own if p < 4 else f"{chr(97 + p % 26) * 12} {chr(97 + p // 26) * 3}") for p in range(40)]
+    big = [("big", p, own if p < 4 else f"{chr(97 + p % 26) * 12}{chr(97 + p // 26 % 26) * 3} text") for p in range(1000)]
+    many = [(f"d{d}", p, notice if p < 4 else f"{chr(97 + d % 26) * 10}{chr(97 + d // 26) * 4}{chr(97 + p) * 5}") for d in range(250) for p in range(6)]
+    for rows, least in ((one, 4), (big + many, 4 + 1000)):
+        df = spark.createDataFrame(lines(rows), "document_id string, page int, id int, text string")
+        got = repeated_lines.lines_to_remove(df, "document_id", "page", "id", "text").collect()
+        want = {i for _, _, i, t in lines(rows) if t in (notice, own)}
+        assert want <= {r.block for r in got} and len(want) == least
+        score = {r.block: r.log10_p for r in got}
+        assert len(rows) == 40 or all(score[i] < 0 for i in want if lines(rows)[i][3] == own)
