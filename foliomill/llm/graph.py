@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from foliomill.session import staged
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node of each node's component, for edges a, b of one comparable type.
 
     Each round sends the larger neighbours of a node to the smallest one it knows (large star), then the smaller ones
@@ -16,7 +16,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     now = staged(edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:  # each round brings nodes closer to their root, so this ends
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # a root may have a third of all nodes: its minimum is taken by partial aggregates, and the join back can be split
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

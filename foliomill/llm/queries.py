@@ -182,18 +182,15 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from foliomill.llm import names
 
-    books = table(spark, d, "books")
-    a, t = (names.linked_pairs(names.link_names(books, "book_id", f, f), "book_id").select(F.lit(f).alias("field"), F.col("a").alias("book_a"), F.col("b").alias("book_b")) for f in ("author", "title"))
-    return a.unionByName(t)
+    entities = names.link_all(table(spark, d, "books"), "book_id", {"author": "author", "title": "title"})
+    return names.linked_pairs(entities, "book_id").select("field", F.col("a").alias("book_a"), F.col("b").alias("book_b"))
 
 
 @query
 def p1_entities(spark: SparkSession, d: str) -> DataFrame:
     from foliomill.llm import names
 
-    books = table(spark, d, "books")
-    a, t = (names.link_names(books, "book_id", f, f).select(F.lit(f).alias("field"), "book_id", "entity") for f in ("author", "title"))
-    return a.unionByName(t)
+    return names.link_all(table(spark, d, "books"), "book_id", {"author": "author", "title": "title"}).select("field", "book_id", "entity")
 
 
 def _truncated(spark: SparkSession, d: str) -> DataFrame:
