@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # What a status says.
 MESSAGES = {"library_empty": "No documents have been ingested yet. Upload a PDF first.", "no_match": "No matching passages were found for that query/filter.", "invalid_query": "The query was empty or too long.", "topk_out_of_range": "The requested number of results is out of range (1-100)."}
-NO_PASSAGES, NO_RESULTS, UNKNOWN_SOURCE = "No relevant passages were found in the BME library.", "No results.", "Unknown source"
+OPENING = "No language model is at hand; these are the passages that fit best:"
+NO_PASSAGES, NO_RESULTS, UNKNOWN_SOURCE = "No relevant passages were found in the library.", "No results.", "Unknown source"
 SNIPPET = 500
 
 
@@ -73,11 +78,11 @@ def prompts(hits: DataFrame, questions: DataFrame, instruction: str = "Answer fr
 
 
 def extracts(hits: DataFrame, questions: DataFrame) -> DataFrame:
-    """query_id, answer: the passages themselves, cut at 500 characters, when no model is at hand."""
+    """query_id, answer: an opening and the passages themselves, cut at 500 characters, when no model is at hand."""
     flat = _flat("content")
     snippet = F.when(F.length(flat) > SNIPPET, F.concat(F.substring(flat, 1, SNIPPET), F.lit("..."))).otherwise(flat)
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), source_label(), F.lit(", score "), two_places(F.col("similarity")), F.lit(")\n"), snippet)
-    return questions.select("query_id").join(_joined(hits, line, "answer"), "query_id", "left").select("query_id", F.coalesce("answer", F.lit(NO_PASSAGES)).alias("answer"))
+    return questions.select("query_id").join(_joined(hits, line, "answer"), "query_id", "left").select("query_id", F.coalesce(F.concat(F.lit(OPENING + "\n\n"), F.col("answer")), F.lit(NO_PASSAGES)).alias("answer"))
 
 
 def not_stored(candidates: DataFrame, store: DataFrame) -> DataFrame:
@@ -85,9 +90,38 @@ def not_stored(candidates: DataFrame, store: DataFrame) -> DataFrame:
     return candidates.join(store.select("document_id").distinct(), "document_id", "left_anti")
 
 
+def generate(hits: DataFrame, questions: DataFrame, provider: Callable[[str], str], timeout: float = 120.0) -> DataFrame:
+    """query_id, answer, error: each question's prompt through a provider's port, called in the workers.
+
+    An exception or an overrun time gives a null answer and its error; a question without hits has the fixed answer and no
+    call.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, prompt in zip(b["query_id"], b["prompt"]):
+                began, text, error = time.monotonic(), NO_PASSAGES, None
+                if prompt is not None:
+                    try:
+                        text = provider(prompt) or ""
+                    except Exception as e:
+                        text, error = None, str(e)
+                    if time.monotonic() - began > timeout:
+                        text, error = None, "timeout"
+                out.append((key, text, error))
+            yield pd.DataFrame(out, columns=["query_id", "answer", "error"])
+
+    asked = questions.select("query_id").join(prompts(hits, questions), "query_id", "left")
+    kind = questions.schema["query_id"].dataType.simpleString()
+    return asked.mapInPandas(run, f"query_id {kind}, answer string, error string")
+
+
+# The names of providers, the ones that need a key first.
+PROVIDERS = ("freemodel", "openai", "ollama", "extractive")
+
+
 def choose_provider(prefer: str | None, keys: set[str], reachable: bool = False) -> str:
     """Which provider answers: the preferred one, else by the keys at hand, else a reachable local server, else extracts."""
-    known = ("freemodel", "openai", "ollama", "extractive")
-    if (prefer or "").lower() in known:
+    if (prefer or "").lower() in PROVIDERS:
         return prefer.lower()
-    return next((p for p in known[:2] if p in keys), "ollama" if reachable else "extractive")
+    return next((p for p in PROVIDERS[:2] if p in keys), "ollama" if reachable else "extractive")

@@ -97,4 +97,16 @@ def failed_documents(embedded: DataFrame) -> DataFrame:
     return embedded.where("status = 'failed'").select("document_id").distinct()
 
 
+def encoder_port(load: Callable[[], object], batch_size: int = 64) -> Callable[[list[str]], list[list[float]]]:
+    """A port over a model with ``encode(texts, ...)``, as sentence encoders have it; loaded once in each worker, at its first batch."""
+    held: list[object] = []
+
+    def port(texts: list[str]) -> list[list[float]]:
+        if not held:
+            held.append(load())
+        return [[float(x) for x in v] for v in held[0].encode(texts, normalize_embeddings=True, batch_size=batch_size, show_progress_bar=False)]
+
+    return port
+
+
 models.register("hash", lambda dimension=64: ("hash", dimension), replace=True)

@@ -34,8 +34,10 @@ def _latin(content: Column) -> Column:
 def sniff(content: Column) -> Column:
     """pdf, epub, docx or html; null for anything else."""
     head = F.when(F.startswith(content, _hex("EFBBBF")), F.substring(content, 4, 1 << 30)).otherwise(content)
-    # leading white space is skipped before the first 1024 bytes are looked at
-    text = F.substring(F.regexp_replace(_latin(head), r"^[\t-\r ]+", ""), 1, 1024)
+    # leading white space is skipped before the first 1024 bytes are looked at; only a file that begins with much of it is read further
+    begin = lambda c: F.substring(F.regexp_replace(_latin(c), r"^[\t-\r ]+", ""), 1, 1024)
+    short = begin(F.substring(head, 1, 4096))
+    text = F.when((F.octet_length(head) <= 4096) | (F.length(short) == 1024), short).otherwise(begin(head))
     is_zip = F.startswith(content, _hex(ZIP_STARTS[0])) | F.startswith(content, _hex(ZIP_STARTS[1])) | F.startswith(content, _hex(ZIP_STARTS[2]))
     return (
         F.when(F.startswith(content, F.lit(b"%PDF-")), "pdf")
@@ -105,6 +107,16 @@ def gate(submissions: DataFrame, config: PipelineConfig = PipelineConfig()) -> D
     return out.select(*submissions.columns, "format", code.alias("code"), message.alias("message"), F.sha2("content", 256).alias("content_hash"))
 
 
+def find_jobs(jobs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """content_hash, job_id: the job of each given content_hash that has one; of several the smallest id."""
+    return jobs.join(hashes.select("content_hash").distinct(), "content_hash", "left_semi").groupBy("content_hash").agg(F.min("job_id").alias("job_id"))
+
+
+def upsert_jobs(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """The jobs after rows that replace those of the same job_id."""
+    return jobs.join(new.select("job_id"), "job_id", "left_anti").unionByName(new)
+
+
 def job_id(content_hash: Column) -> Column:
     """An id that a task run again gives again."""
     return F.sha2(F.concat(F.lit("job"), content_hash), 256)

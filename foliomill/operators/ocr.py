@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 RESULT = "document_id string, image_ref string, page int, seq int, text string, confidence double, error_kind string"
 
@@ -52,7 +52,7 @@ def read_images(images: DataFrame, port: Callable[[str], tuple[str, float]], tim
     return images.select("document_id", "image_ref", "page", "seq").mapInPandas(run, RESULT)
 
 
-def flag_low(results: DataFrame, threshold: float) -> DataFrame:
+def flag_low(results: DataFrame, threshold: float | Column) -> DataFrame:
     """Adds low_confidence: strictly below the threshold; a missing confidence is not low."""
     return results.withColumn("low_confidence", F.coalesce(F.col("confidence") < threshold, F.lit(False)))
 

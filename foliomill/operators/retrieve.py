@@ -60,7 +60,12 @@ def top_k(store: DataFrame, vector: list[float], k: int, filters: dict | None =
     return scored.orderBy(*_ordered(scored)).limit(max(0, k))
 
 
-#: Queries are broadcast up to this many numbers; beyond it they are scored in groups, each a pass over the store.
+def distance_similarity(distance: Column) -> Column:
+    """The similarity of a cosine distance (0 to 2), as databases with vectors give it."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance / 2))
+
+
+#: Queries are held beside a block of the store up to this many numbers; more go in groups, each a pass over the store.
 BROADCAST_NUMBERS = 4_000_000
 
 
@@ -69,21 +74,26 @@ def batch_top_k(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     The stated queries are held beside every block of the store, scored there in one matrix product for each Arrow batch,
     and each batch gives only its k best of each query to the merge, so what is shuffled does not grow with the store's
-    width.  A query set too large to be broadcast goes in groups by its key.
+    width.  A query set too large for that goes in groups by the hash of its key, each of about half the bound.
     """
+    n = queries.agg(F.sum(F.size("vector").cast("bigint"))).first()[0] or 0
+    groups = 1 if n <= BROADCAST_NUMBERS else 2 * math.ceil(n / BROADCAST_NUMBERS)
+    out = None
+    for g in range(groups):
+        part = _group_top_k(store, queries if groups == 1 else queries.where(F.pmod(F.xxhash64("query_id", F.lit(groups)), F.lit(groups)) == g), k)
+        out = part if out is None else out.unionByName(part)
+    order = Window.partitionBy("query_id").orderBy(*_ordered(out))
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _group_top_k(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each Arrow batch of the store for each query of a bounded group."""
     from collections.abc import Iterator
 
     import numpy as np
     import pandas as pd
 
-    rows = queries.select("query_id", "vector").toPandas() if (n := queries.agg(F.sum(F.size("vector"))).first()[0] or 0) <= BROADCAST_NUMBERS else None
-    if rows is None:
-        groups = math.ceil(n / BROADCAST_NUMBERS)
-        out = None
-        for g in range(groups):
-            part = batch_top_k(store, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g), k)
-            out = part if out is None else out.unionByName(part)
-        return out
+    rows = queries.select("query_id", "vector").toPandas()
     held = store.sparkSession.sparkContext.broadcast((rows["query_id"].tolist(), [np.asarray(v, dtype=float) for v in rows["vector"]]))
     kind = queries.schema["query_id"].dataType.simpleString()
 
@@ -110,9 +120,7 @@ def batch_top_k(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 best = np.lexsort((rank, -sims[i]))[:k]
                 yield pd.DataFrame({"query_id": q, "document_id": b["document_id"].iloc[best].to_numpy(), "order_index": b["order_index"].iloc[best].to_numpy(), "chunk_id": b["chunk_id"].iloc[best].to_numpy(), "similarity": sims[i][best]})
 
-    found = store.select("document_id", "order_index", "chunk_id", "embedding").mapInPandas(run, f"query_id {kind}, document_id string, order_index bigint, chunk_id string, similarity double")
-    order = Window.partitionBy("query_id").orderBy(*_ordered(found))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return store.select("document_id", "order_index", "chunk_id", "embedding").mapInPandas(run, f"query_id {kind}, document_id string, order_index bigint, chunk_id string, similarity double")
 
 
 def placeholders(hits: DataFrame) -> DataFrame:

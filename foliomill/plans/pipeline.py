@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliomill.config import PipelineConfig
-from foliomill.operators import chunk, embed, ingest, layout, normalize, retrieve
+from foliomill.operators import chunk, embed, ingest, layout, normalize, ocr, retrieve
+from foliomill.session import staged
 from foliomill.sources import readers
 from foliomill.sources.registry import engines
 from foliomill.sources.store import SnapshotStore
 
 # The stages in their order.
 STAGES = ("parsing", "normalization", "chunking", "embedding", "storage")
+RETRIEVAL_SECONDS = 2.0
+#: Hits are broadcast up to this many rows.
+MOST_HITS = 200_000
 TRANSITION = "seq bigint, job_id string, stage string, status string, at timestamp, reason string"
 
 #: A stage takes (pipeline, documents, artifact of the stage before) and gives (artifact rows, failures).
@@ -33,6 +37,14 @@ class ResumeRejected(RuntimeError):
     pass
 
 
+class MissingArtifact(LookupError):
+    pass
+
+
+class QueryNotEmbedded(RuntimeError):
+    pass
+
+
 # ---- views over the log of transitions
 
 
@@ -77,6 +89,20 @@ def parse_stage(p: Pipeline, docs: DataFrame, _: DataFrame | None) -> tuple[Data
     except (LookupError, RuntimeError) as e:
         why = docs.select("document_id", F.lit(f"engine_unavailable: {e}").alias("reason"))
         return p.spark.createDataFrame([], readers.RAW_ITEM), why
+    # an engine may be slow and is asked once; what it found to be read by OCR are rows of their own
+    items = staged(items, "items")
+    images = items.where("item_kind IN ('page_image', 'image')")
+    items = items.where("item_kind NOT IN ('page_image', 'image')")
+    if p.ocr is not None:
+        page = F.col("item_kind") == "page_image"
+        wanted = ocr.images_to_read(
+            images.where(page).select("document_id", "page", F.lit(False).alias("has_text_layer"), F.col("image_ref").alias("page_image_ref")),
+            images.where(~page).select("document_id", "page", "image_ref", F.lit(True).alias("has_text")),
+        )
+        results = staged(ocr.read_images(wanted, p.ocr, p.config.ocr_page_timeout_seconds), "ocr")
+        blocks, errors = ocr.split_results(results, p.config.ocr_confidence_threshold)
+        items = items.unionByName(blocks, allowMissingColumns=True)
+        p.put_artifact("ocr_errors", errors)
     items = layout.with_origins(items)
     status = layout.parse_status(docs, items, lost)
     bad = status.where("parse_status = 'failed'").select("document_id", F.col("parse_reason").alias("reason"))
@@ -92,16 +118,21 @@ def chunk_stage(p: Pipeline, docs: DataFrame, elements: DataFrame) -> tuple[Data
 
 
 def embed_stage(p: Pipeline, docs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    if p.model is None:
+    why = embed.rejection(p.model_id, p.config.embedding_dimension) if p.model is None else None
+    if why is not None:
+        out = embed.embed_rejected(chunks, why)
+    elif p.model is None:
         out = embed.embed_hashed(chunks, "hash", p.config.embedding_dimension)
     else:
-        out = embed.embed(chunks, p.model, p.config.embedding_dimension, p.config.embedding_timeout_seconds, 1 + p.config.embedding_max_retries)
-    bad = embed.failed_documents(out).withColumn("reason", F.lit("a chunk could not be embedded"))
+        # the port is called once for a chunk: artifact and outcome come from the same rows
+        out = staged(embed.embed(chunks, p.model, p.config.embedding_dimension, p.config.embedding_timeout_seconds, 1 + p.config.embedding_max_retries), "embedded")
+    bad = embed.failed_documents(out).withColumn("reason", F.lit(why or "a chunk could not be embedded"))
     return out.withColumn("model_id", F.lit(p.model_id)), bad
 
 
 def store_stage(p: Pipeline, docs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = records.select([c.split(" ")[0] for c in _record_columns()])
+    rows = staged(rows, "records")
     p.store.upsert(rows)
     missing = unstored(rows, p.store.read()).select("document_id").distinct().withColumn("reason", F.lit("chunks are not stored"))
     return rows.select("document_id", "chunk_id"), missing
@@ -119,9 +150,11 @@ DEFAULT_STAGES: dict[str, Stage] = dict(zip(STAGES, (parse_stage, normalize_stag
 class Pipeline:
     """Jobs, sources, artifacts, transitions and records under one shared folder."""
 
-    def __init__(self, spark: SparkSession, path: str, config: PipelineConfig | None = None, engine: str = "text", model: Callable | None = None, model_id: str = "hash", dictionary: DataFrame | None = None, stages: dict[str, Stage] | None = None):
-        self.spark, self.path, self.engine, self.model, self.model_id, self.dictionary = spark, path.rstrip("/"), engine, model, model_id, dictionary
+    def __init__(self, spark: SparkSession, path: str, config: PipelineConfig | None = None, engine: str | None = "text", model: Callable | None = None, model_id: str | None = None, dictionary: DataFrame | None = None, stages: dict[str, Stage] | None = None, ocr_port: Callable[[str], tuple[str, float]] | None = None):
+        """`engine` None takes the configured one, `model_id` None the configured model, else the hash model."""
+        self.spark, self.path, self.model, self.dictionary, self.ocr = spark, path.rstrip("/"), model, dictionary, ocr_port
         self.config = config or PipelineConfig(embedding_dimension=64)
+        self.engine, self.model_id = engine or self.config.parsing_engine, model_id or self.config.embedding_model or "hash"
         self.stages = DEFAULT_STAGES | (stages or {})
         self.store = SnapshotStore(spark, f"{self.path}/store")
 
@@ -149,26 +182,40 @@ class Pipeline:
 
     def submit(self, files: DataFrame) -> DataFrame:
         """submission_id, filename, content → the outcome of each; accepted ones become jobs."""
-        from foliomill.session import staged
-
-        gated = ingest.gate(files, self.config)
+        gated = staged(ingest.gate(files, self.config), "gated")
         out = staged(ingest.submit(gated, self.jobs()), "submitted")
         kept = ingest.retained_sources(out, gated).join(self.sources().select("document_id"), "document_id", "left_anti")
         kept.write.mode("append").parquet(f"{self.path}/sources")
         ingest.new_jobs(out, gated).write.mode("append").parquet(f"{self.path}/jobs")
         return out
 
+    def _last_seq(self) -> int:
+        if getattr(self, "_seq", None) is None:
+            self._seq = self.transitions().agg(F.max("seq")).first()[0] or 0
+        return self._seq
+
     def _record(self, jobs: DataFrame, stage: str, status: str) -> None:
-        self._seq = getattr(self, "_seq", None) or (self.transitions().agg(F.max("seq")).first()[0] or 0)
-        self._seq += 1
+        self._seq = self._last_seq() + 1
         reason = F.col("reason") if "reason" in jobs.columns else F.lit(None).cast("string")
         jobs.select(F.lit(self._seq).cast("bigint").alias("seq"), "job_id", F.lit(stage).alias("stage"), F.lit(status).alias("status"), F.current_timestamp().alias("at"), reason.alias("reason")).coalesce(1).write.mode("append").parquet(f"{self.path}/transitions")
 
-    def _artifact(self, stage: str, docs: DataFrame) -> DataFrame | None:
+    def has_artifact(self, stage: str) -> bool:
         fs, p = self.store._fs(f"{self.path}/artifacts/{stage}")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/artifacts/{stage}").drop("attempt").join(docs.select("document_id"), "document_id", "left_semi")
+        return fs.exists(p)
+
+    def put_artifact(self, stage: str, rows: DataFrame) -> None:
+        """Rows of documents; those of a document that are put later stand for the ones before."""
+        self._runs = max(getattr(self, "_runs", 0) + 1, self._last_seq())
+        rows.withColumn("run", F.lit(self._runs).cast("bigint")).write.mode("append").parquet(f"{self.path}/artifacts/{stage}")
+
+    def artifact(self, stage: str, docs: DataFrame | None = None) -> DataFrame:
+        """The last rows that were put for each document, of `docs` only if given."""
+        if not self.has_artifact(stage):
+            raise MissingArtifact(stage)
+        rows = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/artifacts/{stage}")
+        if docs is not None:
+            rows = rows.join(docs.select("document_id"), "document_id", "left_semi")
+        return rows.join(rows.groupBy("document_id").agg(F.max("run").alias("run")), ["document_id", "run"], "left_semi").drop("run")
 
     def process(self, jobs: DataFrame | None = None) -> DataFrame:
         """Runs all stages of the given jobs (by default of those not begun) and gives their outcomes."""
@@ -182,8 +229,6 @@ class Pipeline:
             states = states.where(F.col("job_id").isin(job_ids))
         if states.isEmpty():
             raise ResumeRejected("no failing stage is recorded")
-        from foliomill.session import staged
-
         failed = staged(states.join(self.jobs().select("job_id", "document_id"), "job_id"), "failed")
         for stage in STAGES:
             some = failed.where(F.col("failing_stage") == stage).select("job_id", "document_id")
@@ -192,23 +237,21 @@ class Pipeline:
         return outcomes(self.states())
 
     def _from(self, first: str, alive: DataFrame) -> DataFrame:
-        from foliomill.session import staged
-
         alive = staged(alive.select("job_id", "document_id"), "alive")
         for at, stage in enumerate(STAGES):
             if at < STAGES.index(first):
                 continue
             todo, done = alive, None
-            for attempt in range(1 + self.config.stage_retry_limit):
+            for _ in range(1 + self.config.stage_retry_limit):
                 if todo.isEmpty():
                     break
                 self._record(todo, stage, "running")
-                before = self._artifact(STAGES[at - 1], todo) if at else None
+                before = self.artifact(STAGES[at - 1], todo) if at else None
                 try:
                     rows, bad = self.stages[stage](self, todo.select("document_id"), before)
                     bad = staged(todo.join(bad, "document_id"), "failed")
                     # only what the good documents produced is kept
-                    rows.join(bad.select("document_id"), "document_id", "left_anti").withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{self.path}/artifacts/{stage}")
+                    self.put_artifact(stage, rows.join(bad.select("document_id"), "document_id", "left_anti"))
                 except Exception as e:
                     bad = staged(todo.withColumn("reason", F.lit(str(e)[:1000])), "failed")
                 good = staged(todo.join(bad.select("job_id"), "job_id", "left_anti"), "good")
@@ -227,8 +270,14 @@ class Pipeline:
         if self.model is None:
             v = fine.select("query_id", embed.hash_embedding(F.col("text"), "hash", self.config.embedding_dimension).alias("vector"))
         else:
-            v = embed.embed(fine.select("query_id", F.col("text").alias("content")), self.model, self.config.embedding_dimension).where("status = 'ok'").select("query_id", F.col("embedding").alias("vector"))
+            done = staged(embed.embed(fine.select("query_id", F.col("text").alias("content")), self.model, self.config.embedding_dimension, RETRIEVAL_SECONDS), "queries")
+            lost = done.where("status != 'ok'").select("cause").first()
+            if lost is not None:
+                raise QueryNotEmbedded(lost[0])
+            v = done.select("query_id", F.col("embedding").alias("vector"))
         store = self.store.read()
-        best = retrieve.batch_top_k(store, v, k)
-        hits = retrieve.placeholders(best.join(store.select("chunk_id", "content", "page_number", "heading_path"), "chunk_id"))
+        # no more than k rows a query: the store is filtered by them, not shuffled
+        best = staged(retrieve.batch_top_k(store, v, k), "best")
+        few = F.broadcast(best) if best.count() <= MOST_HITS else best
+        hits = retrieve.placeholders(store.select("chunk_id", "content", "page_number", "heading_path").join(few, "chunk_id"))
         return hits, retrieve.result_status(q, hits, store)

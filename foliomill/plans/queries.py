@@ -404,7 +404,7 @@ def source_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_HITS}, f AS (SELECT *, replace({_STRIP('content')}, chr(10), ' ') AS t FROM h)
-SELECT query_id, string_agg('[' || rank || '] (' || concat_ws(', ', book, nullif(author, ''), 'section: ' || nullif(section, ''), 'p.' || page_number) || ', score ' || printf('%.2f', similarity) || ')' || chr(10) || CASE WHEN length(t) > 500 THEN left(t, 500) || '...' ELSE t END, chr(10) || chr(10) ORDER BY rank) AS answer FROM f GROUP BY query_id""")
+SELECT query_id, 'No language model is at hand; these are the passages that fit best:' || chr(10) || chr(10) || string_agg('[' || rank || '] (' || concat_ws(', ', book, nullif(author, ''), 'section: ' || nullif(section, ''), 'p.' || page_number) || ', score ' || printf('%.2f', similarity) || ')' || chr(10) || CASE WHEN length(t) > 500 THEN left(t, 500) || '...' ELSE t END, chr(10) || chr(10) ORDER BY rank) AS answer FROM f GROUP BY query_id""")
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     h = _hits(spark, d)
     return answer.extracts(h, h.select("query_id").distinct())

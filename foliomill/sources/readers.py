@@ -1,6 +1,6 @@
 """Readers of submitted files and of the JSON that layout engines write: all give rows of raw items.
 
-A raw item is ``document_id, item_kind (block, table, figure), origin, page, text, kind, heading_level, bbox, column,
+A raw item is ``document_id, item_kind (block, table, figure; page_image, image: what OCR has to read), origin, page, text, kind, heading_level, bbox, column,
 from_ocr, cells, degraded, raw_text, image_ref, caption``.
 """
 
@@ -67,12 +67,16 @@ def pdf_pages(sources: DataFrame) -> DataFrame:
                         text = ""
                     parts = [x.strip() for x in text.split("\n\n") if x.strip()] or ([text] if text.strip() else [])
                     for part in parts:
-                        rows.append((key, n, page, part))
+                        rows.append((key, "block", n, page, part, None))
                         n += 1
-            yield pd.DataFrame(rows, columns=["document_id", "origin", "page", "text"])
+                    if not parts:  # no text layer: the page itself is an image to be read
+                        rows.append((key, "page_image", n, page, None, f"{key}#{page}"))
+                        n += 1
+            yield pd.DataFrame(rows, columns=["document_id", "item_kind", "origin", "page", "text", "image_ref"])
 
-    df = sources.select("document_id", "content").mapInPandas(run, "document_id string, origin int, page int, text string")
-    return _items(df, document_id=F.col("document_id"), item_kind=F.lit("block"), origin=F.col("origin"), page=F.col("page"), text=F.col("text"), kind=F.lit("paragraph"))
+    df = sources.select("document_id", "content").mapInPandas(run, "document_id string, item_kind string, origin int, page int, text string, image_ref string")
+    block = F.col("item_kind") == "block"
+    return _items(df, document_id=F.col("document_id"), item_kind=F.col("item_kind"), origin=F.col("origin"), page=F.col("page"), text=F.col("text"), kind=F.when(block, "paragraph"), image_ref=F.col("image_ref"))
 
 
 # Labels of layout engines and the kinds of block they stand for; others are paragraphs.

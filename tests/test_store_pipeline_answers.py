@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from foliomill.config import PipelineConfig
 from foliomill.operators import answer, embed, retrieve
 from foliomill.plans import pipeline as P
+from foliomill.sources import store as S
 from foliomill.sources.store import RECORD, DocumentNotFound, PersistenceError, SnapshotStore, merge_books, read_books
 from foliomill.streaming.ingest import watch
 
@@ -26,7 +27,7 @@ def test_store(spark, tmp_path):
     assert keys(s.read()) == [("a", "1"), ("a", "2"), ("b", "3"), ("b", "4")]
     assert s.replace_document("a", records(spark, ("9", "a"))) and not s.replace_document("c", records(spark, ("5", "c")))
     assert keys(s.read()) == [("a", "9"), ("b", "3"), ("b", "4"), ("c", "5")]
-    s.delete_document("b")
+    assert sorted(r.chunk_id for r in s.delete_document("b").collect()) == ["3", "4"]
     assert s.get_document("b").isEmpty() and keys(s.get_document("a")) == [("a", "9")]
     with pytest.raises(DocumentNotFound):
         s.delete_document("b")
@@ -101,7 +102,7 @@ def test_answers(spark):
     qs = spark.createDataFrame([("q", "why?"), ("r", "what?")], "query_id string, text string")
     out = {r.query_id: r.answer for r in answer.extracts(w, qs).collect()}
     assert out["r"] == answer.NO_PASSAGES
-    assert out["q"].startswith("[1] (T, W, section: A > B, p.7, score 0.12)\na b") and "..." in out["q"]
+    assert out["q"].startswith(answer.OPENING + "\n\n[1] (T, W, section: A > B, p.7, score 0.12)\na b") and "..." in out["q"]
     assert "Question: why?" in answer.prompts(w, qs).first().prompt
     assert answer.choose_provider(None, {"openai"}) == "openai" and answer.choose_provider(None, set()) == "extractive" and answer.choose_provider("ollama", {"openai"}) == "ollama"
     assert spark.range(1).select(answer.effective_top_k(F.lit(0), 5)).first()[0] == 5
@@ -148,6 +149,113 @@ def test_failures_and_resume(spark, tmp_path):
     assert states.where("stage = 'parsing'").agg(F.max("attempts")).first()[0] == 1
 
 
+def test_a_change_writes_only_its_buckets(spark, tmp_path):
+    s = SnapshotStore(spark, f"file://{tmp_path}", buckets=16)
+    s.upsert(records(spark, *[(f"c{i}", f"d{i}") for i in range(60)]))
+    before = s.manifest()["folders"]
+    s.upsert(records(spark, ("new", "d7")))
+    after = s.manifest()
+    assert len([b for b in after["folders"] if before.get(b) != after["folders"][b]]) == 1 and len(after["stale"]) == 1
+    # a chunk that goes to another document leaves the one it was of
+    s.upsert(records(spark, ("c3", "elsewhere")))
+    assert s.get_document("d3").isEmpty() and s.read().count() == 61
+    # what the change before last had replaced is deleted
+    assert not list((tmp_path / "records").glob(after["stale"][0] + "/*.parquet"))
+    (tmp_path / "records" / "CURRENT").write_text("damaged")
+    assert SnapshotStore(spark, f"file://{tmp_path}").read().isEmpty()
+
+
+def test_the_last_of_a_batch_wins(spark, tmp_path):
+    s = SnapshotStore(spark, f"file://{tmp_path}")
+    s.upsert(records(spark, ("1", "a"), ("1", "a"), ("1", "a")).coalesce(1))
+    assert [r.order_index for r in s.read().collect()] == [2]
+
+
+def test_databases():
+    assert S.jdbc_url(env={"DATABASE_URL": "postgres://h/d"}) == "jdbc:postgresql://h/d" and S.jdbc_url("jdbc:x") == "jdbc:x" and S.jdbc_url(connection=lambda: "postgresql://h") == "jdbc:postgresql://h"
+    with pytest.raises(ValueError):
+        S.jdbc_url(env={})
+    with pytest.raises(ValueError):
+        S.nearest_sql("a; b", [1.0], 3)
+    assert S.nearest_sql("t", [1, 2.5], 3, {"document_id": "o'x", "page_number": 4}) == "SELECT *, (embedding <=> '[1.0,2.5]') AS distance FROM t WHERE document_id = 'o''x' AND page_number = 4 ORDER BY distance, document_id LIMIT 3"
+
+
+@pytest.mark.parametrize("n", [200, 400, 800])
+def test_queries_beyond_the_bound_go_in_groups(spark, monkeypatch, n):
+    df = spark.createDataFrame([(str(i), "d", i, [float(i % 7), 1.0 + i % 5, float(i % 3)]) for i in range(40)], "chunk_id string, document_id string, order_index bigint, embedding array<double>")
+    q = spark.createDataFrame([(i, [float(i % 11), 1.0, 0.5]) for i in range(n // 3)], "query_id bigint, vector array<double>")
+    want = {(r.query_id, r["rank"], r.chunk_id) for r in retrieve.batch_top_k(df, q, 2).collect()}
+    monkeypatch.setattr(retrieve, "BROADCAST_NUMBERS", 100)
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in retrieve.batch_top_k(df, q, 2).collect()} == want and len(want) == 2 * (n // 3)
+
+
+def test_one_call_a_chunk_and_the_last_artifact_holds(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def model(texts):
+        with open(calls, "a") as f:
+            f.write("x\n" * len(texts))
+        return [[1.0] * 64 for _ in texts]
+
+    p = P.Pipeline(spark, f"file://{tmp_path}/p", model=model, model_id="counted")
+    p.submit(spark.createDataFrame([(i, f"{i}.html", f"<html>text {i}</html>".encode()) for i in range(5)], "submission_id int, filename string, content binary"))
+    assert {r.overall_status for r in p.process().collect()} == {"completed"}
+    assert len(calls.read_text().split()) == p.store.read().count() == 5
+    # the process ended after the artifact was written and before its outcome was: the stage runs again
+    one = p.jobs().limit(1)
+    again = P.Pipeline(spark, p.path)
+    again._from("chunking", one)
+    assert again.artifact("chunking").count() == 5 and p.store.read().count() == 5
+    with pytest.raises(P.MissingArtifact):
+        p.artifact("nothing")
+    lame = P.Pipeline(spark, f"file://{tmp_path}/q", PipelineConfig(embedding_dimension=64, embedding_model="unheard of", stage_retry_limit=0))
+    lame.submit(spark.createDataFrame([(1, "a.html", b"<html>a</html>")], "submission_id int, filename string, content binary"))
+    assert [tuple(r)[1:] for r in lame.process().collect()] == [("failed", "embedding")]
+    assert lame.states().where("status = 'failed'").first().reason == "model_unrecognized"
+    with pytest.raises(P.QueryNotEmbedded):
+        P.Pipeline(spark, p.path, model=lambda ts: 1 / 0).retrieve(spark.createDataFrame([("q", "x")], "query_id string, text string"))[0].count()
+
+
+def test_pages_without_text_are_read_by_ocr(spark, tmp_path):
+    from foliomill.sources.readers import RAW_ITEM
+    from foliomill.sources.registry import engines
+
+    def engine(src):
+        rows = [("block", 0, 1, "typed text", None), ("page_image", 1, 2, None, "page-2"), ("image", 2, 3, None, "broken")]
+        items = spark.createDataFrame(rows, "item_kind string, origin int, page int, text string, image_ref string")
+        names = [f.split(" ")[0] for f in RAW_ITEM.split(", ")]
+        df = src.select("document_id").crossJoin(items).withColumns({"kind": F.lit("paragraph"), "from_ocr": F.lit(False), "degraded": F.lit(False)})
+        return spark.createDataFrame([], RAW_ITEM).unionByName(df, allowMissingColumns=True).select(names)
+
+    def port(ref):
+        if ref == "broken":
+            raise RuntimeError("no image")
+        return "words of the page", 0.4
+
+    engines.register("scans", engine, replace=True)
+    p = P.Pipeline(spark, f"file://{tmp_path}/p", engine="scans", ocr_port=port)
+    p.submit(spark.createDataFrame([(1, "a.html", b"<html>a</html>")], "submission_id int, filename string, content binary"))
+    assert {r.overall_status for r in p.process().collect()} == {"completed"}
+    got = p.artifact("parsing").orderBy("position").collect()
+    assert [(r.page, r.text, r.source, r.block_type, r.low_confidence) for r in got] == [(1, "typed text", "text_layer", "paragraph", None), (2, "words of the page", "ocr", "ocr_text", True)]
+    assert [(r.image_ref, r.error_kind) for r in p.artifact("ocr_errors").collect()] == [("broken", "unreadable")]
+
+
+def test_providers_and_encoders(spark):
+    h = spark.createDataFrame([("q", 1, "d", "a", "7", [], 0.5)], "query_id string, rank int, document_id string, content string, page_number string, heading_path array<string>, similarity double")
+    w = answer.with_books(h, spark.createDataFrame([], "document_id string, title string, author string"))
+    qs = spark.createDataFrame([("q", "why?"), ("r", "what?")], "query_id string, text string")
+    assert {r.query_id: (r.answer, r.error) for r in answer.generate(w, qs, lambda p: p[-7:]).collect()} == {"q": ("Answer:", None), "r": (answer.NO_PASSAGES, None)}
+    assert {r.query_id: r.error for r in answer.generate(w, qs, lambda p: 1 / 0).collect()} == {"q": "division by zero", "r": None}
+
+    class Encoder:
+        def encode(self, texts, normalize_embeddings, batch_size, show_progress_bar):
+            return [[float(len(t)), 1.0] for t in texts]
+
+    e = embed.embed(spark.createDataFrame([("ab",), ("abc",)], "content string"), embed.encoder_port(Encoder), 2)
+    assert sorted(tuple(r.embedding) for r in e.collect()) == [(2.0, 1.0), (3.0, 1.0)]
+
+
 def test_watch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.html").write_bytes(b"<html>alpha</html>")
