@@ -52,13 +52,16 @@ FROM (SELECT DISTINCT block_id, document_id, text FROM text_blocks) b
 JOIN (SELECT document_id, min(config_id) AS config_id FROM jobs GROUP BY document_id) j USING (document_id)
 JOIN pipeline_configs c USING (config_id)
 WHERE len(regexp_extract_all(b.text, '[^{_SPACE_RE2}]+')) > c.max_chunk_tokens"""
-ORACLE_SQL["p4_found"] = r"""
-WITH lines AS (
+_REPEATED = r"""lines AS (
   SELECT block_id, document_id, page_number, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no
   FROM (SELECT DISTINCT block_id, document_id, page_number, text FROM text_blocks)),
 keyed AS (SELECT *, regexp_replace(lower(line), '[^\p{L}]+', '', 'g') AS k FROM lines),
-often AS (SELECT document_id, k FROM keyed WHERE length(k) >= 10 GROUP BY document_id, k HAVING count(DISTINCT page_number) >= 4)
-SELECT block_id, line_no FROM keyed JOIN often USING (document_id, k)"""
+often AS (SELECT document_id, k FROM keyed WHERE length(k) >= 10 GROUP BY document_id, k HAVING count(DISTINCT page_number) >= 4)"""
+ORACLE_SQL["p4_found"] = f"WITH {_REPEATED} SELECT block_id, line_no FROM keyed JOIN often USING (document_id, k)"
+ORACLE_SQL["p4_clean"] = f"""
+WITH {_REPEATED}, gone AS (SELECT block_id, line_no FROM keyed JOIN often USING (document_id, k))
+SELECT b.block_id, CASE WHEN b.text IS NOT NULL THEN coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE g.line_no IS NULL), '') END AS text, CAST(count(g.line_no) AS INTEGER) AS removed
+FROM (SELECT DISTINCT block_id, text FROM text_blocks) b LEFT JOIN lines l ON l.block_id = b.block_id LEFT JOIN gone g ON g.block_id = l.block_id AND g.line_no = l.line_no GROUP BY b.block_id, b.text"""
 
 
 @query
